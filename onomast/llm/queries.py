@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onomast.llm import mixing, packing, pii, tokenbin
+from onomast.llm import langid, mixing, packing, pii, ppm, tokenbin
 from onomast.llm.common import table
 
 
@@ -23,13 +23,21 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text"))
     return pii.report(pii.find(docs, keep_text=False))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op4_token_binary, op5_source_mixing, op8_pii)
+    f.__name__: f for f in (op1_best_fit_packing, op4_token_binary, op5_source_mixing, op7_language_id, op8_pii, op9_lm_scoring)
 }
 
 ORACLE_SQL: dict[str, str] = {}
