@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onomast.llm import langid, mixing, packing, pii, ppm, tokenbin
+from onomast.llm import langid, media, mixing, packing, pii, ppm, substrings, tokenbin
 from onomast.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media(table(spark, sf_dir, "documents"))
+
+
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.digest(tokenbin.packed(table(spark, sf_dir, "documents")))
 
@@ -36,8 +40,12 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op4_token_binary, op5_source_mixing, op7_language_id, op8_pii, op9_lm_scoring)
+    f.__name__: f for f in (op1_best_fit_packing, op3_media_columns, op4_token_binary, op5_source_mixing, op7_language_id, op8_pii, op9_lm_scoring, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
