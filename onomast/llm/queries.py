@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onomast.llm import langid, media, mixing, packing, pii, ppm, substrings, tokenbin
+from onomast.llm import ann, langid, media, mixing, packing, pii, ppm, substrings, tokenbin
 from onomast.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_media_columns, op4_token_binary, op5_source_mixing, op7_language_id, op8_pii, op9_lm_scoring, op10_substring_dedup)
+    f.__name__: f for f in (op1_best_fit_packing, op2_nearest_neighbours, op3_media_columns, op4_token_binary, op5_source_mixing, op7_language_id, op8_pii, op9_lm_scoring, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
