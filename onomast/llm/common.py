@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,8 +74,25 @@ def in_batches(
     return df.mapInArrow(run, schema)
 
 
-def arrow(schema: str | object, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(columns, schema=schema)
+def arrow_rows(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def bitmap(slots: DataFrame, size: int) -> np.ndarray:
+    """The bits of the column `slot` (0 to size - 1): size / 8 bytes, whatever the rows."""
+    # Spark's bitmaps start at bucket 1; value v > 0 has bucket (v - 1) / 32768 + 1 and bit (v - 1) % 32768.
+    at = F.col("slot") + 1
+    rows = slots.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    table = np.zeros(-(-size // 32768) * 4096, np.uint8)
+    for r in rows:
+        start = (r["b"] - 1) * 4096
+        table[start : start + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return table
+
+
+def in_bitmap(table: np.ndarray, slot: int) -> bool:
+    return bool(table[slot >> 3] >> (slot & 7) & 1)
 
 
 def text_or_empty(col: str):

@@ -140,3 +140,11 @@ def mix(
     rest = wanted.where(~open_).withColumn("copies", F.col("whole"))
     columns = ["doc_id", "size", "source_size", "target", "copies"]
     return rounded.select(columns).unionByName(rest.select(columns)).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """docs as the mix takes them: each row as often as it has copies, none included. Rows of one id
+    share the copies of the one that has the most."""
+    decided = mix(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
+    taken = docs.join(decided.where("__copies > 0"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*docs.columns)

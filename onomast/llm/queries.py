@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onomast.llm import ann, langid, media, mixing, packing, pii, ppm, substrings, tokenbin
+from onomast.llm import ann, jaccard, langid, media, mixing, packing, pii, ppm, substrings, tokenbin
 from onomast.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.cluster(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_nearest_neighbours, op3_media_columns, op4_token_binary, op5_source_mixing, op7_language_id, op8_pii, op9_lm_scoring, op10_substring_dedup)
+    f.__name__: f for f in (op1_best_fit_packing, op2_nearest_neighbours, op3_media_columns, op4_token_binary, op5_source_mixing, op6_jaccard_join, op7_language_id, op8_pii, op9_lm_scoring, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
