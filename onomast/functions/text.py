@@ -8,13 +8,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _ASCII = r"\A[\x00-\x7F]*\z"
 _SPACE = r"(?U)\s+"
 
 
 def _vectorized(fn):
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(fn, na_action="ignore")
 

@@ -12,15 +12,21 @@ from pyspark.sql import functions as F
 from onomast.functions.vectors import dot, is_finite, triplet_loss
 from onomast.operators.knn import DIGITS, knn_join
 
-_DESC = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-_EVERY = Window.partitionBy(F.lit(1))
+
+def _down(column: str = "score"):
+    return Window.orderBy(F.desc(column)).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _every():
+    return Window.partitionBy(F.lit(1))
+
 
 
 def curve(scored: DataFrame) -> DataFrame:
     """(score, p, n, tp, fp, pos, neg, precision, recall, f1) per distinct score of scored(y, score), the
     predictions being those of that score or more."""
     by = scored.groupBy(F.round("score", DIGITS).alias("score")).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("n"))
-    out = by.withColumns({"tp": F.sum("p").over(_DESC), "fp": F.sum("n").over(_DESC), "pos": F.sum("p").over(_EVERY), "neg": F.sum("n").over(_EVERY)})
+    out = by.withColumns({"tp": F.sum("p").over(_down()), "fp": F.sum("n").over(_down()), "pos": F.sum("p").over(_every()), "neg": F.sum("n").over(_every())})
     out = out.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", "pos")})
     f1 = 2 * F.col("precision") * F.col("recall") / F.greatest(F.col("precision") + F.col("recall"), F.lit(1e-12))
     return out.withColumn("f1", f1)
@@ -69,8 +75,8 @@ def threshold_sweep(scored: DataFrame, steps: int = 100) -> DataFrame:
     step = F.least(F.greatest(F.ceil(F.round(s * steps, 4)) - 1, F.lit(-1)), F.lit(steps)).cast("bigint")
     by = scored.groupBy(step.alias("i")).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("n"))
     grid = scored.sparkSession.range(-1, steps + 1).withColumnRenamed("id", "i").join(by, "i", "left").na.fill(0, ["p", "n"])
-    down = Window.orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    c = grid.select("i", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(_EVERY).alias("pos")).where("i >= 0")
+    down = _down("i")
+    c = grid.select("i", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(_every()).alias("pos")).where("i >= 0")
     rate = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     tp, fp, pos = F.col("tp"), F.col("fp"), F.col("pos")
     return c.select((F.col("i") / steps).alias("t"), rate(tp, tp + fp).alias("precision"), rate(tp, pos).alias("recall"), rate(2 * tp, tp + fp + pos).alias("f1"))
@@ -131,7 +137,7 @@ def outcomes(scored: DataFrame, margin: float = 0.3) -> DataFrame:
     pos, neg = F.col("pos"), F.col("neg")
     label = F.when(pos <= neg, "Incorrect").when(neg > pos - margin, "Correct but Violated").otherwise("Correct & Satisfied")
     counted = scored.groupBy(label.alias("outcome")).agg(F.count("*").alias("triplets"))
-    return counted.withColumn("share", F.col("triplets") / F.sum("triplets").over(_EVERY))
+    return counted.withColumn("share", F.col("triplets") / F.sum("triplets").over(_every()))
 
 
 def recall_at_k(rows: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:

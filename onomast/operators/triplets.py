@@ -105,7 +105,7 @@ def choose_negative(anchors: DataFrame, rows: DataFrame, seed: int = 42) -> Data
     found = found.withColumn("r", first).where("r = 1").select("anchor_id", "row_id", "label")
     members = indexed(rows.select(F.col("cluster_id").alias("id"), F.col("row_id").alias("name")), least=1)
     order = group_order(members)
-    rest = anchors.join(found, anchors.row_id == found.anchor_id, "left_anti").select(F.col("row_id").alias("anchor_id"), F.col("cluster_id").alias("grp"))
+    rest = anchors.join(found.select(F.col("anchor_id").alias("row_id")), "row_id", "left_anti").select(F.col("row_id").alias("anchor_id"), F.col("cluster_id").alias("grp"))
     rest = rest.join(order.select("grp", "g", "total"), "grp").where("total > 1")
     rest = rest.withColumn("other", (F.col("g") + 1 + draw(seed, "anchor_id", F.lit("g")) % (F.col("total") - 1)) % F.col("total"))
     rest = rest.join(order.select(F.col("g").alias("other"), F.col("grp").alias("neg_grp"), F.col("n").alias("neg_n")), "other")
@@ -132,7 +132,7 @@ def heuristic(rows: DataFrame, augment, per_cluster: int = 2, seed: int = 42, no
     both = turns.join(a, ["cluster_id", "i"]).join(p, ["cluster_id", "p"])
     asked = rows.join(both.select(F.col("a_id").alias("row_id")).distinct(), "row_id", "left_semi")
     negative = choose_negative(asked, rows, seed).join(rows.select("row_id", F.col("name").alias("neg"), F.col("lang").alias("neg_lang")), "row_id").drop("row_id")
-    both = both.join(negative, both.a_id == negative.anchor_id)
+    both = both.join(negative.withColumnRenamed("anchor_id", "a_id"), "a_id")
     light = noise_rate if max_ops > 0 else 0.0
     both = both.withColumn("x", augment(F.col("a_name"), F.col("a_lang"), F.concat_ws(":", "cluster_id", "turn", F.lit("a")), noise_rate, max_ops))
     both = both.withColumn("y", augment(F.col("p_name"), F.col("p_lang"), F.concat_ws(":", "cluster_id", "turn", F.lit("p")), light, max_ops))
