@@ -5,10 +5,11 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,16 +61,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_batches(batches: Iterable[pa.RecordBatch], rows: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most `rows` rows, and of most_bytes unless a single row is longer."""
+    for b in batches:
+        size = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        total = np.concatenate([[0], np.cumsum(size)])
+        at = 0
+        while at < b.num_rows:
+            end = int(np.searchsorted(total, total[at] + most_bytes, side="right")) - 1
+            end = min(max(end, at + 1), at + rows, b.num_rows)
+            yield b.slice(at, end - at)
+            at = end
+
+
 def in_batches(
     df: DataFrame,
     fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str,
     rows: int = 1000,
+    most_bytes: int = 2 << 20,
 ) -> DataFrame:
-    """mapInArrow that hands fn batches of at most `rows` rows, however large Spark's batches are."""
+    """mapInArrow that hands fn small batches, however large Spark's are, so that memory is bounded by
+    most_bytes or the longest row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return fn(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+        return fn(cut_batches(batches, rows, most_bytes))
 
     return df.mapInArrow(run, schema)
 

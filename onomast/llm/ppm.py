@@ -75,7 +75,7 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-def training_counts(texts: DataFrame, flush: int = 1 << 20) -> DataFrame:
+def training_counts(texts: DataFrame, flush: int = 1 << 19) -> DataFrame:
     """(kind, key, n): word counts by hash and gram counts over texts(text)."""
     out = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
@@ -99,8 +99,8 @@ def training_counts(texts: DataFrame, flush: int = 1 << 20) -> DataFrame:
             held += len(first)
             if held > flush:
                 k, c = _summed(keys, counts)
-                keys, counts, held = [k], [c], 0 if len(k) < flush // 2 else len(k)
-                if len(k) > flush:
+                keys, counts, held = [k], [c], len(k)
+                if held > flush // 2:
                     yield from rows(_GRAM, k, c)
                     keys, counts, held = [], [], 0
             if len(words) > flush // 2:
@@ -280,13 +280,14 @@ def score(docs: DataFrame, max_nodes: int = 1 << 22, common: int = 1 << 17) -> D
                 # The end token is counted once in each training text, and is no word.
                 rows.append((row_id + k, len(split) + 1, known, sum_ - sum(times), float(scores[k]), rare, times))
             row_id += len(tidy)
-            if len(logs) > 1 << 19:
+            if len(logs) > 1 << 18:
                 logs.clear()
             c = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), b["doc_id"], b["held_out"], *(pa.array(x, t) for x, t in zip(c[1:], out.types[3:], strict=True))], schema=out)
 
     schema = "row_id bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, score double, rare array<bigint>, times array<bigint>"
     scored = materialize(in_batches(docs, run, schema), "ppm-scored")
+    model.unpersist()
     ends = counts_of_end(docs)
     # An unknown word's log10(0.1) = -1 is in `logs` already; a known one makes up for it here.
     rare = scored.select("row_id", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row_id", F.col("w.rare").alias("key"), F.col("w.times").alias("times"))
