@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from onomast.llm.common import in_batches, materialize
+from onomast.llm.common import bitmap, in_batches, in_bitmap, materialize
 from onomast.llm.gear import cuts
 
 UNIT = 576
@@ -106,16 +106,18 @@ def _chunk_rows(texts: DataFrame, repeated: np.ndarray, wanted: bool) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        squeeze, table = zstandard.ZstdCompressor(LEVEL), bits.value
+        squeeze, table, seen = zstandard.ZstdCompressor(LEVEL), bits.value, set()
         for b in batches:
-            rows, seen = [], set()
+            rows = []
+            if len(seen) > 1 << 18:
+                seen.clear()
             for text in b["text"].to_pylist():
                 _, payload = payload_of(text)
                 parts, sha = chunks_of(payload), None
                 for k, c in enumerate(parts):
                     digest = _digest(c, len(parts) == 1)
                     slot = _slot(digest)
-                    if bool(table[slot >> 3] >> (slot & 7) & 1) == wanted:
+                    if in_bitmap(table, slot) == wanted:
                         sha = sha or hashlib.sha256(payload).digest()
                         if (digest, sha, k) not in seen:
                             seen.add((digest, sha, k))
@@ -126,17 +128,6 @@ def _chunk_rows(texts: DataFrame, repeated: np.ndarray, wanted: bool) -> DataFra
     return in_batches(texts.select("text"), run, "digest binary, sha binary, seq int, whole boolean, body binary")
 
 
-def _bitmap(slots: DataFrame) -> np.ndarray:
-    """The bits of the given slots, at most SLOTS / 8 bytes."""
-    at = F.col("slot")
-    rows = slots.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    table = np.zeros(SLOTS // 8 + 4096, np.uint8)
-    for r in rows:  # bucket b covers 32768 slots; bucket numbers start at 1, and slot 0 has none of its own
-        start = (r["b"] - 1) * 4096
-        table[start : start + 4096] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-    return table
-
-
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(digests, chunk store), both written: digests has a row per document, the store one per chunk."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -148,7 +139,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_copy = copies.where(F.col("n") > 1).select(F.explode("slots").alias("slot"))
     by_chunk = listed.groupBy("digest").agg(F.count("*").alias("n"), F.min("slot").alias("slot")).where(F.col("n") > 1).select("slot")
     owners = listed.groupBy("digest").agg(F.min(F.struct("sha", "seq")).alias("o")).select("digest", "o.sha", "o.seq")
-    repeated = _bitmap(by_copy.unionByName(by_chunk))
+    repeated = bitmap(by_copy.unionByName(by_chunk), SLOTS)
     once = _chunk_rows(texts, repeated, False)
     maybe = _chunk_rows(texts, repeated, True).join(owners, ["digest", "sha", "seq"], "left_semi")
     # Copies of the owner itself are left: one of each digest stays.
