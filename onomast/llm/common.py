@@ -58,7 +58,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     with shuffles_dropped(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what materialize() wrote, once nothing that is still to run reads it."""
+    for df in written:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_batches(batches: Iterable[pa.RecordBatch], rows: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -102,7 +112,8 @@ def bitmap(slots: DataFrame, size: int) -> np.ndarray:
     """The bits of the column `slot` (0 to size - 1): size / 8 bytes, whatever the rows."""
     # Spark's bitmaps start at bucket 1; value v > 0 has bucket (v - 1) / 32768 + 1 and bit (v - 1) % 32768.
     at = F.col("slot") + 1
-    rows = slots.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    with shuffles_dropped(slots.sparkSession):
+        rows = slots.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
     table = np.zeros(-(-size // 32768) * 4096, np.uint8)
     for r in rows:
         start = (r["b"] - 1) * 4096
@@ -110,6 +121,20 @@ def bitmap(slots: DataFrame, size: int) -> np.ndarray:
     return table
 
 
+def slot_of(column: str, size: int):
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(size))
+
+
+def slots_of(ids: DataFrame, column: str, size: int) -> DataFrame:
+    """The distinct slots of a column, at most `size` numbers, to be broadcast."""
+    return F.broadcast(ids.select(slot_of(column, size).alias("__slot")).distinct())
+
+
+def narrowed(rows: DataFrame, column: str, wanted: DataFrame, size: int = 1 << 21) -> DataFrame:
+    """The rows whose column is among the wanted ones, and few others, without moving any row."""
+    return rows.withColumn("__slot", slot_of(column, size)).join(slots_of(wanted, column, size), "__slot", "left_semi").drop("__slot")
+
+
 def in_bitmap(table: np.ndarray, slot: int) -> bool:
     return bool(table[slot >> 3] >> (slot & 7) & 1)
 

@@ -10,12 +10,14 @@ shingles; if the shingles are dealt to more than t slices by a hash, some slice
 shingles in both. Sets are banded by size, each slice's digest is a key, and sets that share a key
 form a region. Documents that share a passage alone differ somewhere in almost every slice.
 
-Pivots. The pivot of a region is its most central set, the one whose keys are shared most. Sets within
-r of it are linked to it, hence connected, and need no further look among themselves. A set x
-outside can link to y only if |d(x, pivot) - d(y, pivot)| <= r: the sets outside, and those inside that
-this window replicates to them, form the next region, and the recursion goes on with pivots from
-the outside until none is left. A region that has become one component is closed. Pairs are
-(set, pivot) pairs, never all pairs of a region, and each is verified on the whole shingle sets.
+Pivots. The pivot of a region is its most central set, the one whose keys are shared most, and the
+regions of one pivot make up its Voronoi cell; a set that falls into several regions is replicated to
+the cells of all their pivots, so that linked sets meet in a cell. Sets within r of the pivot are
+linked to it, hence connected, and need no further look among themselves. A set x outside can link to
+y only if |d(x, pivot) - d(y, pivot)| <= r: a cell is cut into rings of this width around its pivot,
+and the sets outside, with those inside that the window replicates to them, are joined ring by
+neighbouring ring, in blocks, by exact intersections of whole shingle sets. Pairs are (set, pivot)
+pairs and what blocks find linked; no task holds more than two blocks.
 
 Components come from label propagation with pointer jumping over the links, which stay distributed.
 
@@ -34,50 +36,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from onomast.llm.common import arrow_rows, bitmap, in_batches, in_bitmap, materialize
+from onomast.llm.common import arrow_rows, bitmap, discard, in_batches, in_bitmap, materialize, narrowed, slot_of, slots_of
+from onomast.llm.words import hashed_words, mix
 
-_UPPER = bytes(range(256)).lower()
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 SLOTS = 1 << 24
-PIVOTS = 16  # of a region in each turn after the first
+KEPT_SLOTS = 1 << 21
+BLOCK = 600  # rows of a ring that go into one block
+COLUMNS = 4096  # shingles of one matrix product
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64, on arrays."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-class _Words(dict):
-    """Hashes of words, found once each."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingle_sets(texts: list[str | None], words: int, memo: dict | None = None) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    memo = _Words() if memo is None else memo
-    split = [(t or "").encode().translate(_UPPER).split() for t in texts]
-    lengths = np.array([len(s) for s in split])
-    flat = np.fromiter((memo[w] for s in split for w in s), np.uint64, int(lengths.sum()))
-    if len(memo) > 1 << 20:
-        memo.clear()
+    flat, _, _, lengths, _ = hashed_words(texts)
     rolled = np.zeros(max(0, len(flat) - words + 1), np.uint64)
     for j in range(words):
         rolled = rolled * _MULT + flat[j : j + len(rolled)]
-    rolled, sets, at = _mix(rolled), [], 0
+    rolled, sets, at = mix(rolled), [], 0
     for n in lengths.tolist():
         if n >= words:
             sets.append(np.unique(rolled[at : at + n - words + 1]))
         elif n:
             h = np.array([n], np.uint64)  # so that no short text equals a shingle
             for x in flat[at : at + n]:
-                h = _mix(h ^ x) * _MULT
+                h = mix(h ^ x) * _MULT
             sets.append(h)
         else:
             sets.append(np.zeros(0, np.uint64))
@@ -114,12 +96,14 @@ class Bands:
         return [(at, own[at]), (below, own[below] - 1)]
 
 
-def region_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set, key) of every region that a set falls into."""
+def region_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, key, tag) of every region that a set falls into. The tag holds the band and, in its lower
+    16 bits, how many keys of the band the set shares with any set that it is linked with, at least."""
     sizes = np.array([len(s) for s in sets], np.int64)
+    none = np.zeros(0, np.int64)
     if not sizes.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bands, which, keys = Bands(percent, int(sizes.max())), [], []
+        return none, none, none
+    bands, which, keys, tags = Bands(percent, int(sizes.max())), [], [], []
     for at, band in bands.of(sizes):
         if not len(at):
             continue
@@ -129,17 +113,19 @@ def region_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nd
         owner = np.repeat(np.arange(len(at)), sizes[at])
         slot = offset[owner] + ((flat >> np.uint64(32)) % k[owner].astype(np.uint64)).astype(np.int64)
         sums = np.zeros(offset[-1], np.uint64)
-        np.add.at(sums, slot, _mix(flat + _MULT))
+        np.add.at(sums, slot, mix(flat + _MULT))
         full = np.bincount(slot, minlength=offset[-1]) > 0
         holder = np.repeat(np.arange(len(at)), k)
         empty = k - np.bincount(holder[full], minlength=len(at))
         # Two sets that both have more empty slices than can be spared may share empty ones only.
         full |= (empty > bands.spare[band])[holder]
+        need = np.maximum(1, 1 + bands.spare[band] - empty)
         place = np.arange(offset[-1]) - offset[holder]
-        tag = _mix((band[holder] << 32 | place).astype(np.uint64) + np.uint64(1))
-        keys.append(_mix(sums[full] ^ tag[full]).astype(np.int64))
+        tag = mix((band[holder] << 32 | place).astype(np.uint64) + np.uint64(1))
+        keys.append(mix(sums[full] ^ tag[full]).astype(np.int64))
         which.append(at[holder[full]])
-    return (np.concatenate(which), np.concatenate(keys)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        tags.append((band << 16 | np.minimum(need, 0xFFFF))[holder[full]])
+    return tuple(np.concatenate(x) if keys else none for x in (which, keys, tags))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -150,9 +136,8 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, set_id), written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Words()
         for b in batches:
-            sets = shingle_sets(b["text"].to_pylist(), words, memo)
+            sets = shingle_sets(b["text"].to_pylist(), words)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "set_id"])
 
     return materialize(in_batches(_texts(docs), run, "doc_id bigint, n_shingles bigint, set_id bigint"), "jaccard-documents")
@@ -162,24 +147,29 @@ def members(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(key, id, n) of the regions that hold more than one set, n being how many, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen = _Words(), set()
+        seen: set[int] = set()
         for b in batches:
             sets = {}
-            for s in shingle_sets(b["text"].to_pylist(), words, memo):
+            for s in shingle_sets(b["text"].to_pylist(), words):
                 if len(s) and (i := set_id(s)) not in seen:
                     sets[i] = s
             seen.update(sets)
             if len(seen) > 1 << 20:
                 seen.clear()
-            which, keys = region_keys(list(sets.values()), percent)
+            which, keys, tags = region_keys(list(sets.values()), percent)
             ids = np.array(list(sets), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids[which] if len(ids) else ids, pa.int64())], names=["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids[which] if len(ids) else ids, pa.int64()), pa.array(tags, pa.int32())], names=["key", "id", "tag"])
 
-    rows = in_batches(_texts(docs).select("text"), run, "key bigint, id bigint")
+    rows = in_batches(_texts(docs).select("text"), run, "key bigint, id bigint, tag int")
     held = Window.partitionBy("key")
     shared = rows.withColumn("low", F.min("id").over(held)).withColumn("high", F.max("id").over(held)).where(F.col("low") != F.col("high"))
-    shared = shared.select("key", "id").distinct()  # keeps the partitioning by key
-    return materialize(shared.withColumn("n", F.count("*").over(held)), "jaccard-members")
+    shared = materialize(shared.select("key", "id", "tag").distinct(), "jaccard-shared")  # keeps the partitioning by key
+    # A set that shares fewer keys of a band than a link takes has none there, whatever it shares them with.
+    strong = shared.groupBy("id", "tag").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("tag").bitwiseAND(0xFFFF)).drop("n")
+    kept = shared.join(strong, ["id", "tag"], "left_semi").select("key", "id").withColumn("n", F.count("*").over(held)).where("n > 1")
+    kept = materialize(kept, "jaccard-members")
+    discard(shared)
+    return kept
 
 
 def needed_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -189,10 +179,10 @@ def needed_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     bits = spark.sparkContext.broadcast(bitmap(ids.select(F.pmod("id", F.lit(SLOTS)).alias("slot")), SLOTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen, table = _Words(), set(), bits.value
+        seen, table = set(), bits.value
         for b in batches:
             rows = []
-            for s in shingle_sets(b["text"].to_pylist(), words, memo):
+            for s in shingle_sets(b["text"].to_pylist(), words):
                 if len(s) and (i := set_id(s)) not in seen and in_bitmap(table, i % SLOTS):
                     seen.add(i)
                     rows.append((i, s.tobytes()))
@@ -201,12 +191,15 @@ def needed_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     found = in_batches(_texts(docs).select("text"), run, "id bigint, shingles binary").join(ids, "id", "left_semi")
     # Copies of a set from different tasks are equal; the size of what moves is small here.
     one = F.row_number().over(Window.partitionBy("id").orderBy(F.lit(1)))
-    return materialize(found.withColumn("r", one).where("r = 1").drop("r"), "jaccard-sets")
+    found = materialize(found.withColumn("r", one).where("r = 1").drop("r"), "jaccard-sets")
+    bits.unpersist()
+    return found
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (id, pivot) with `inter`, `total` (of the union), `d` and `linked`, written."""
-    joined = pairs.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("other")), "pivot")
+    others = narrowed(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("other")), "pivot", pairs)
+    joined = pairs.join(narrowed(sets, "id", pairs), "id").join(others, "pivot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,60 +218,95 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id that each end of the edges (a, b) can reach, written."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "jaccard-edges")
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "jaccard-both")
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "jaccard-labels")
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
         step = step.join(jump, "label").select("id", "old", F.least("label", "further").alias("label"))
         step = materialize(step, "jaccard-labels")
-        labels = step.select("id", "label")
+        discard(labels)
+        labels = step
         if step.where(F.col("old") != F.col("label")).isEmpty():
-            return labels
+            discard(both)
+            return labels.select("id", "label")
+
+
+def join_cells(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what is linked within cells(pivot, id, ring, linked), written. A row of
+    a ring meets the rows of its own and the next rings; rings of more than BLOCK rows are dealt to
+    blocks, and each two blocks meet in a task of their own."""
+    sizes = cells.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rings = sizes.groupBy("pivot").agg(F.map_from_entries(F.collect_list(F.struct("ring", "blocks"))).alias("rings"))  # at most 1 / r entries
+    rows = materialize(cells.join(rings, "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("rings")[F.col("ring")]).cast("int")), "jaccard-rings")
+    near = F.filter(F.array(*(F.col("ring") + x for x in (-1, 0, 1))), lambda x: F.map_contains_key("rings", x))
+    # Rows of ring 0 are linked to the pivot, and so with each other.
+    near = F.filter(near, lambda x: (x > 0) | (F.col("ring") > 0))
+    other = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0), F.col("rings")[x] - 1), lambda y: F.struct(x.alias("ring"), y.alias("block")))))
+    met = rows.withColumn("own", F.struct("ring", "block")).withColumn("other", F.explode(other))
+    met = met.select("pivot", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "linked", (F.col("own") <= F.col("other")).alias("first"), (F.col("own") >= F.col("other")).alias("second"))
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        ids = group["id"].to_numpy()
+        first, second, linked = (group[c].to_numpy() for c in ("first", "second", "linked"))
+        parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["shingles"]]
+        size = np.array([len(x) for x in parts])
+        common = np.zeros((len(ids), len(ids)), np.float32)
+        values, column, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(ids)), size)
+        place = np.cumsum(times > 1) - 1  # what one set alone holds is in no intersection
+        keep = times[column] > 1
+        row, column = row[keep], place[column[keep]]
+        for at in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+            here = (column >= at) & (column < at + COLUMNS)
+            holds = np.zeros((len(ids), COLUMNS), np.float32)
+            holds[row[here], column[here] - at] = 1
+            common += holds @ holds.T
+        near = 100 * common.astype(np.int64) >= percent * (size[:, None] + size[None, :] - common.astype(np.int64))
+        near &= (first[:, None] & second[None, :]) | (second[:, None] & first[None, :])
+        np.fill_diagonal(near, False)
+        label = np.arange(len(ids))
+        while True:  # the least row that each can reach
+            new = np.minimum(label, np.where(near, label[None, :], len(ids)).min(axis=1, initial=len(ids)))
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        told = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.Table.from_arrays([pa.array(ids[told]), pa.array(ids[label[told]])], schema=out)
+
+    joined = met.join(narrowed(sets, "id", rows), "id").groupBy("pivot", "low", "high").applyInArrow(run, "a bigint, b bigint")
+    return materialize(joined.distinct(), "jaccard-cells")
 
 
 def links(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Verified links (id, pivot) between sets, enough of them to give every component."""
-    r, slack = 1 - percent / 100, 1e-9
+    """Edges (a, b) between sets that give every component."""
+    r = 1 - percent / 100
     held = members(docs, words, percent)
     central = held.groupBy("id").agg(F.sum("n").alias("weight"))
     ranked = materialize(held.join(central, "id"), "jaccard-ranked")
     best = ranked.groupBy("key").agg(F.max(F.struct("weight", "id")).alias("best")).select("key", F.col("best.id").alias("pivot"))
-    region = materialize(ranked.join(best, "key"), "jaccard-regions")
     sets = needed_sets(docs, held.select("id").distinct(), words)
-    done = verify(region.where("id <> pivot").select("id", "pivot").distinct(), sets, percent)
-    found = done.where("linked").select("id", "pivot")
-
-    # Regions with sets outside the pivot's ball, and what the window replicates to them.
-    region = region.where("n > 2 and id <> pivot").join(done.select("id", "pivot", "d"), ["id", "pivot"])
-    while True:
-        by_key = Window.partitionBy("key")
-        region = region.withColumn("outside", F.col("d") > r + slack).withColumn("nearest", F.min(F.when(F.col("outside"), F.col("d"))).over(by_key))
-        region = region.where(F.col("nearest").isNotNull() & (F.col("d") >= F.col("nearest") - r - slack))
-        region = materialize(region.drop("nearest").withColumn("rows", F.count("*").over(by_key)).where("rows > 1").drop("rows"), "jaccard-open")
-        if region.isEmpty():
-            return found
-        label = components(found.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-        region = region.drop("label").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        region = region.withColumn("low", F.min("label").over(by_key)).withColumn("high", F.max("label").over(by_key)).where("low <> high").drop("low", "high")
-        order = F.row_number().over(Window.partitionBy("key", "outside").orderBy(F.desc("weight"), "id"))
-        region = materialize(region.withColumn("turn", F.when(F.col("outside"), order)), "jaccard-turn")
-        heads = region.where(F.col("turn") <= PIVOTS).select("key", F.col("id").alias("pivot2"), F.col("d").alias("d2"), F.col("label").alias("label2"), F.col("turn").alias("turn2"))
-        pairs = region.join(heads, "key").where(F.col("label") != F.col("label2")).where(F.abs(F.col("d") - F.col("d2")) <= r + slack)
-        # Two pivots meet once.
-        pairs = pairs.where(F.col("turn").isNull() | (F.col("turn") > F.col("turn2")))
-        pairs = pairs.select(F.least("id", "pivot2").alias("id"), F.greatest("id", "pivot2").alias("pivot")).distinct()
-        checked = verify(pairs, sets, percent)
-        found = materialize(found.unionByName(checked.where("linked").select("id", "pivot")), "jaccard-links")
-        region = region.where(F.col("turn").isNull() | (F.col("turn") > PIVOTS)).drop("turn", "outside", "label")
+    # Regions of one pivot are one cell.
+    done = verify(ranked.join(best, "key").where("id <> pivot").select("id", "pivot").distinct(), sets, percent)
+    found = done.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    # What the window of an outside set replicates to it: d >= d(outside) - r.
+    slack = 1e-6
+    open_ = done.groupBy("pivot").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("outside"), F.count("*").alias("n")).where("outside is not null and n > 1")
+    cells = done.join(open_, "pivot").where(F.col("d") >= F.col("outside") - r - slack)
+    ring = F.floor(F.col("d") / (r + slack)).cast("int")
+    cells = cells.select("pivot", "id", "linked", F.when(F.col("linked"), ring).otherwise(F.greatest(ring, F.lit(1))).alias("ring"))
+    edges = materialize(found.unionByName(join_cells(cells, sets, percent)).distinct(), "jaccard-edges")
+    discard(held, ranked, sets, done)
+    return edges
 
 
 def cluster(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text)."""
     sets = document_sets(docs, words)
-    found = links(docs, words, percent)
-    label = components(found.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+    label = components(links(docs, words, percent))
     linked = sets.where("n_shingles > 0").join(label.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     lowest = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = linked.join(lowest, "label").select("doc_id", "n_shingles", "component_id")
@@ -288,9 +316,14 @@ def cluster(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs without those that are not the first, by id, of their component."""
-    kept = cluster(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
-    kept = materialize(kept.groupBy("__kept").agg(F.count("*").alias("__n")), "jaccard-kept")
-    out = docs.join(kept.select("__kept"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    found = cluster(docs, words, percent)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    marked = materialize(found.groupBy("doc_id").agg(F.bool_or(first).alias("__kept"), F.count("*").alias("__n")), "jaccard-kept")
+    gone, kept = marked.where(~F.col("__kept")).select("doc_id"), marked.where("__kept")
+    # Most documents share no slot with one that goes; only the others are looked up by id.
+    slotted, slots = docs.withColumn("__slot", slot_of("doc_id", KEPT_SLOTS)), slots_of(gone, "doc_id", KEPT_SLOTS)
+    maybe = slotted.join(slots, "__slot", "left_semi").join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    out = slotted.join(slots, "__slot", "left_anti").unionByName(maybe).drop("__slot")
     if kept.where("__n > 1").isEmpty():
         return out
     return out.dropDuplicates(["doc_id", "text"])  # repeated rows of one id

@@ -81,3 +81,31 @@ def repeated_passages(docs: DataFrame, min_bytes: int = 120) -> DataFrame:
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start_byte"), F.max("end").alias("end_byte"), F.count("*").alias("n_units"), F.bool_and("first").alias("first")
     )
     return runs.where(F.col("end_byte") - F.col("start_byte") >= min_bytes).drop("row_key", "run")
+
+
+def without_repeats(docs: DataFrame, min_bytes: int = 120) -> DataFrame:
+    """docs with every repeated passage cut from their text but where it stands first. Ids must be
+    unique; null texts stay null, and a text that is all repeats becomes empty."""
+    if "__cuts" in docs.columns:
+        raise ValueError("the column __cuts is this operator's own")
+    found = repeated_passages(docs, min_bytes).where("not first and doc_id is not null")
+    cut_at = found.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.array("start_byte", "end_byte"))).alias("__cuts"))  # of one text
+    joined = docs.join(cut_at, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for text, cuts_ in zip(b["text"].to_pylist(), b["__cuts"].to_pylist(), strict=True):
+                if text is not None and cuts_:
+                    raw, at, kept = text.encode(), 0, []
+                    for start, end in cuts_:
+                        kept.append(raw[at:start])
+                        at = max(at, end)
+                    # A chunk may end within a character; what is left of one goes with the passage.
+                    text = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
+                texts.append(text)
+            names = [n for n in b.schema.names if n != "__cuts"]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b[n] for n in names], names=names)
+
+    return in_batches(joined.select(*docs.columns, "__cuts"), run, fields)

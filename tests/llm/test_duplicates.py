@@ -91,8 +91,10 @@ def test_slices_meet_for_every_near_pair():
             y = np.unique(np.concatenate([y, rng.integers(0, 1 << 63, rng.integers(0, max(1, n // 13) + 1)).astype(np.uint64)]))
             both = len(np.intersect1d(x, y))
             if 100 * both >= 85 * (len(x) + len(y) - both) and len(x) != both:
-                which, keys = jaccard.region_keys([x, y], 85)
-                assert set(keys[which == 0]) & set(keys[which == 1])
+                which, keys, tags = jaccard.region_keys([x, y], 85)
+                one, two = (dict(zip(keys[which == i].tolist(), tags[which == i].tolist(), strict=True)) for i in (0, 1))
+                met = set(one) & set(two)
+                assert any(sum(own[k] == tag for k in met) >= tag & 0xFFFF for own in (one, two) for tag in set(own.values()))
 
 
 def test_jaccard_odd_cases(spark):
@@ -174,6 +176,17 @@ def test_planted_passages_are_found_and_clean_documents_left(spark):
         assert part.strip() in held[r["doc_id"]] and r["first"] == (r["doc_id"] < 40)
 
 
+def test_repeats_are_cut_but_where_they_stand_first(spark):
+    docs, held = passages()
+    df = spark.createDataFrame([(t, i, "kept") for i, t in [*docs, (500, None), (501, "é" * 400), (502, "é" * 400)]], "text string, doc_id bigint, other string")
+    got = {r["doc_id"]: r for r in substrings.without_repeats(df).collect()}
+    text = dict(docs)
+    assert len(got) == len(docs) + 3 and {r["other"] for r in got.values()} == {"kept"} and got[500]["text"] is None
+    assert all(got[i]["text"] == text[i] for i in text if i < 40 or i not in held)
+    assert sum(len(text[i]) - len(got[i]["text"]) >= 120 for i in held if i >= 40) >= 0.97 * 80
+    assert got[501]["text"] == "é" * 400 and got[502]["text"] == ""
+
+
 def test_substring_units_match_plain_counting(spark, sf):
     docs = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
     _, _, digest, start, end = substrings.units_of([t for _, t in docs])
