@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from onomast.llm.common import in_batches
+from onomast.llm.common import in_batches, shuffles_dropped
 
 UNDETERMINED = "und"
 _EDGE = 1  # stands for any run of other characters
@@ -81,7 +81,8 @@ def fit(docs: DataFrame, training, profile: int = 400, sample_docs: int = 2000)
     place = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(span))
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     limit = sizes.select(F.col("lang").alias("l"), F.least(F.lit(float(span)), F.lit(float(span)) * sample_docs / F.col("n")).alias("limit"))
-    sample = labelled.select("lang", "text", place.alias("place")).join(limit, F.col("lang") == F.col("l")).where(F.col("place") < F.col("limit"))
+    # A row per language, fewer than the profiles that every task holds anyway.
+    sample = labelled.select("lang", "text", place.alias("place")).join(F.broadcast(limit), F.col("lang") == F.col("l")).where(F.col("place") < F.col("limit"))
 
     out = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
@@ -97,7 +98,9 @@ def fit(docs: DataFrame, training, profile: int = 400, sample_docs: int = 2000)
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
     found: dict[str, list[int]] = {}
-    for r in ranked.where(F.col("rank") <= profile).orderBy("lang", "rank").collect():  # `profile` rows a language
+    with shuffles_dropped(docs.sparkSession):
+        rows = ranked.where(F.col("rank") <= profile).orderBy("lang", "rank").collect()  # `profile` rows a language
+    for r in rows:
         found.setdefault(r["lang"], []).append(r["gram"])
     return {k: np.array(v, np.int64) for k, v in found.items()}
 
