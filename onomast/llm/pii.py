@@ -7,8 +7,9 @@ both, the disclosure of e by t is
 
     PMI(e;t) / IC(e) = log2(n(e,t) N / (n(e) n(t))) / log2(N / n(e))
 
-and a term that reaches `threshold` in at least `min_support` distinct texts gives the entity
-away even when the entity itself has been removed. Such a term is removed (rare) or generalised
+and a term that reaches `threshold` in at least `min_support` distinct texts, and there has at least
+as many different neighbours on either side, gives the entity away even when the entity itself has been
+removed. (Near copies repeat all their words beside the same neighbours; that is no evidence.) Such a term is removed (rare) or generalised
 (by its shape) wherever it stands in a text that holds the entity.
 
 Defined cases: null text counts as empty; empty text has no spans; copies of a text count once in
@@ -42,6 +43,7 @@ GATES = {
     "phone": lambda t: F.contains(t, F.lit("+")),
 }
 WORD = r"[\p{L}\p{N}_]+"
+SLOTS = 1 << 21
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -108,29 +110,47 @@ def base_spans(docs: DataFrame, text_col: str, out: str = "base") -> DataFrame:
     )
 
 
-def disclosing_terms(texts: DataFrame, entities: DataFrame, threshold: float, min_support: int) -> DataFrame | None:
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+
+
+def _mentions(near: DataFrame) -> DataFrame:
+    """(text_key, term, before, after): every word of the texts with the words around it, distinct."""
+    t = near.select("text_key", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("term"))
+    rest, edge = F.greatest(F.size("term") - 1, F.lit(0)), F.array(F.lit(""))
+    t = t.withColumns({"before": F.concat(edge, F.slice("term", F.lit(1), rest)), "after": F.concat(F.slice("term", F.lit(2), rest), edge)})
+    t = t.select("text_key", F.inline(F.arrays_zip("term", "before", "after"))).where("term is not null")
+    return t.select("text_key", "term", "before", "after").distinct()
+
+
+def disclosing_terms(near: DataFrame, texts: DataFrame, threshold: float, min_support: int) -> DataFrame | None:
     """(text_key, term) for each term that gives away an entity of that text, or None if no entity
-    has the support. texts: (text_key, text), one row each; entities: (text_key, entity), distinct."""
-    supported = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_support)
-    held = materialize(entities.join(supported, "entity"), "pii-entities")
+    has the support. near: (text_key, text, entities) of each distinct text that holds any entity;
+    texts: (text_key, text) of all rows."""
+    listed = near.select("text_key", F.explode("entities").alias("entity"))
+    supported = listed.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_support)
+    held = materialize(listed.join(supported, "entity"), "pii-entities")
     if held.isEmpty():
         return None
-
-    def words(df: DataFrame) -> DataFrame:
-        found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-        return df.select("text_key", F.explode(found).alias("term"))
-
-    near = words(texts.join(held.select("text_key").distinct(), "text_key", "left_semi"))
-    pairs = near.join(held, "text_key").groupBy("entity", "term", "n_e").agg(F.count("*").alias("n_et"))
-    pairs = materialize(pairs.where(F.col("n_et") >= min_support), "pii-pairs")
-    seen = words(texts).join(pairs.select("term").distinct(), "term", "left_semi")
-    spread = seen.groupBy("term").agg(F.count("*").alias("n_t"))
-    total = texts.count()
-    ic = F.log2(F.lit(float(total)) / F.col("n_e"))
-    pmi = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
-    telling = pairs.join(spread, "term").where((ic > 0) & (pmi >= threshold * ic)).select("entity", "term")
-    telling = telling.join(held.select("entity", "text_key"), "entity")
-    return telling.select("text_key", "term").distinct()
+    total = texts.select("text_key").distinct().count()
+    # The threshold on PMI / IC as one on n(t): n(t) <= n(e,t) (N / n(e)) ^ (1 - threshold).
+    most = F.col("n_et") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1.0 - threshold)) + F.lit(1e-9)
+    words = materialize(_mentions(near.join(held.select("text_key").distinct(), "text_key", "left_semi")), "pii-near-words")
+    pairs = words.join(held, "text_key").groupBy("entity", "term", "n_e").agg(F.count_distinct("text_key").alias("n_et"), F.least(F.count_distinct("before"), F.count_distinct("after")).alias("contexts"))
+    pairs = pairs.where((F.col("n_et") >= min_support) & (F.col("contexts") >= min_support) & (F.col("n_e") < total)).withColumn("most", most)
+    # A term's count among all texts with entities is at most its n(t): what is too common there is out.
+    least = near.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    pairs = materialize(pairs.join(least, "term").where(F.col("n_near") <= F.col("most")).select("entity", "term", "most"), "pii-pairs")
+    if pairs.isEmpty():
+        return None
+    open_ = pairs.select("term").distinct()
+    # A set of at most SLOTS numbers passes all words that are open, and few others, where texts are read.
+    slot = F.pmod(F.xxhash64("term"), F.lit(SLOTS)).alias("slot")
+    seen = texts.select("text_key", F.explode(_words(F.col("text"))).alias("term")).withColumn("slot", slot)
+    seen = seen.join(F.broadcast(open_.select(slot).distinct()), "slot", "left_semi").join(open_, "term", "left_semi").select("text_key", "term")
+    spread = seen.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    telling = pairs.join(spread, "term").where(F.col("n_t") <= F.col("most")).select("entity", "term")
+    return telling.join(held.select("entity", "text_key"), "entity").select("text_key", "term").distinct()
 
 
 def find(
@@ -140,34 +160,34 @@ def find(
     min_support: int = 3,
     keep_text: bool = True,
 ) -> DataFrame:
-    """docs (without the text, if it isn't to be kept) with `base` (spans of the four patterns) and `spans` (these and the method's `term`
-    spans), each an array of (start, kind, end, value), and `text_key`."""
-    if clash := {"base", "spans", "text_key"} & set(docs.columns):
+    """docs (without the text, if it isn't to be kept) with `base` (spans of the four patterns) and
+    `spans` (these and the method's `term` spans), each an array of (start, kind, end, value)."""
+    if clash := {"base", "spans"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are this operator's own")
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    based = base_spans(docs, text_col).withColumn("text_key", key)
-    based = materialize(based if keep_text else based.drop(text_col), "pii-base")  # one pass over the texts
-    listed = based.select("text_key", F.explode("base").alias("s"))
-    entities = materialize(
-        listed.select("text_key", F.lower("s.value").alias("entity")).distinct(), "pii-values"
-    )
-    texts = docs.select(key.alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    terms = disclosing_terms(texts.dropDuplicates(["text_key"]), entities, threshold, min_support)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    based = base_spans(docs, text_col).withColumn("__key", F.xxhash64(text))
+    # One pass over the texts finds the base spans; of texts with spans it keeps what the statistics need.
+    based = based.withColumn("__near", F.when(F.size("base") > 0, text))
+    based = materialize(based if keep_text else based.drop(text_col), "pii-base")
+    entities = F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))
+    near = based.where(F.col("__near").isNotNull()).select(F.col("__key").alias("text_key"), F.col("__near").alias("text"), entities.alias("entities"), "base")
+    near = near.dropDuplicates(["text_key"])
+    terms = disclosing_terms(near, docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")), threshold, min_support)
     if terms is None:
-        return based.withColumn("spans", F.col("base"))
+        return based.withColumn("spans", F.col("base")).drop("__key", "__near")
 
     # Every place of a telling term in the texts that hold its entity. Inside base spans it goes anyway.
     told = terms.groupBy("text_key").agg(F.collect_set("term").alias("terms"))
-    hit = texts.dropDuplicates(["text_key"]).join(told, "text_key")
+    hit = near.join(told, "text_key")
     hit = hit.withColumn("m", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).withColumn("g", F.split("text", WORD, -1))
     hit = hit.withColumn("at", _starts(F.col("g"), F.col("m")))
     placed = F.zip_with("at", "m", lambda s, m: F.struct(s.alias("start"), F.lit(KINDS.index("term")).alias("kind"), (s + F.length(m)).alias("end"), m.alias("value")))
-    hit = hit.select("text_key", F.filter(placed, lambda z: F.array_contains(F.col("terms"), F.lower(z["value"]))).alias("more"))
-    outside = F.filter("more", lambda z: ~F.exists("base", lambda b: (b["start"] < z["end"]) & (z["start"] < b["end"])))
-    joined = based.join(hit, "text_key", "left")
-    return joined.withColumn(
-        "spans", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", outside)))
-    ).drop("more")
+    hit = hit.withColumn("placed", F.filter(placed, lambda z: F.array_contains(F.col("terms"), F.lower(z["value"]))))
+    outside = F.filter("placed", lambda z: ~F.exists("base", lambda b: (b["start"] < z["end"]) & (z["start"] < b["end"])))
+    more = hit.select(F.col("text_key").alias("__key"), outside.alias("__more"))
+    joined = based.join(more, "__key", "left")
+    spans = F.when(F.col("__more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "__more")))
+    return joined.withColumn("spans", spans).drop("__key", "__near", "__more")
 
 
 def _listing(spans: Column) -> Column:

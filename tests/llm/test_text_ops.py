@@ -123,9 +123,10 @@ def test_base_spans_match_plain_search(spark, sf):
 
 
 def test_terms_that_give_an_entity_away(spark):
-    rows = [(i, f"Codename Zebra{i % 1} met ann@corp.example about item{i}", "x") for i in range(6)]
+    rows = [(i, f"Codename w{i} Zebra0 v{i} met ann@corp.example about item{i}", "x") for i in range(6)]
+    rows += [(30 + i, f"All that these same words say is bob@site.example zulu yankee, copy {i}", "x") for i in range(6)]
     rows += [(100 + i, f"about the item{i} met codename nobody word{i % 7}", "x") for i in range(60)]
-    rows += [(200, "Codename Zebra0 met ann@corp.example about item0", "x"), (201, None, "x"), (202, "", None)]
+    rows += [(200, "Codename w0 Zebra0 v0 met ann@corp.example about item0", "x"), (201, None, "x"), (202, "", None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, value string")
     got = {r["doc_id"]: r for r in pii.find(df).collect()}
     n = len({t for _, t, _ in rows if t is not None} | {""})
@@ -134,14 +135,15 @@ def test_terms_that_give_an_entity_away(spark):
     telling = set()
     for w in set().union(*words.values()):
         n_t, n_et = sum(w in x for x in words.values()), sum(w in words[t] for t in entity)
-        if n_et >= 3 and math.log2(n_et * n / (len(entity) * n_t)) >= 0.95 * math.log2(n / len(entity)):
+        around = [(a[k], a[k + 2]) for t in entity for a in [["", *re.findall(r"\w+", t.lower()), ""]] for k, x in enumerate(a[1:-1]) if x == w]
+        if n_et >= 3 and min(len({a for a, _ in around}), len({b for _, b in around})) >= 3 and math.log2(n_et * n / (len(entity) * n_t)) >= 0.95 * math.log2(n / len(entity)):
             telling.add(w)
-    assert telling == {"zebra0", "ann", "corp", "example"}
+    assert telling == {"zebra0"}
     spans = [(s["start"], s["end"], s["value"]) for s in got[0]["spans"] if s["kind"] == pii.KINDS.index("term")]
-    assert spans == [(9, 15, "Zebra0")] and len(got[0]["base"]) == 1
-    assert got[200]["spans"] == got[0]["spans"] and all(not got[i]["spans"] for i in (100, 201, 202))
+    assert spans == [(12, 18, "Zebra0")] and len(got[0]["base"]) == 1
+    assert got[200]["spans"] == got[0]["spans"] and all(not got[i]["spans"] for i in (100, 201, 202)) and got[31]["spans"] == got[31]["base"]
     clean = {r["doc_id"]: r for r in pii.sanitise(df).collect()}
-    assert clean[3]["text"] == "Codename [TERM] met [EMAIL] about item3" and clean[201]["text"] is None and clean[3].asDict().keys() == {"doc_id", "text", "value"}
+    assert clean[3]["text"] == "Codename w3 [TERM] v3 met [EMAIL] about item3" and clean[201]["text"] is None and clean[3].asDict().keys() == {"doc_id", "text", "value"}
 
 
 def test_pii_odd_cases(spark):
