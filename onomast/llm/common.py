@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -30,7 +32,9 @@ def scratch_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_scratch:
-        _local_scratch[app] = "file://" + tempfile.mkdtemp(prefix="onomast-")
+        path = tempfile.mkdtemp(prefix="onomast-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _local_scratch[app] = f"file://{path}"
     return _local_scratch[app]
 
 
