@@ -1,6 +1,6 @@
 r"""Language-model scores by prediction by partial matching over bytes.
 
-The model is a trie of byte contexts, 4 bytes deep, with the counts of what followed them in the
+The model is a trie of byte contexts, 5 bytes deep, with the counts of what followed them in the
 training texts. A byte is predicted by its longest known context; where that has not seen it, the
 model escapes (method C: as often as the context has different symbols) to the next shorter one,
 and the symbols of the contexts left behind are excluded there. Below the empty context all bytes
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from onomast.llm.common import in_batches, materialize
 from onomast.llm.langid import remainder
 
-DEPTH = 4
+DEPTH = 5
 END = 255
 _WORD, _GRAM = 0, 1
 _UPPER = bytes(range(256)).lower()
@@ -167,38 +167,36 @@ class Trie:
 
 
 class HashTable:
-    """Open addressing over int64 keys, for lookups by whole arrays."""
-
-    EMPTY = -1
+    """Open addressing over sorted int64 keys, for lookups by whole arrays. A slot holds a key's place
+    in the arrays that it was made of, so that these are not held twice."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(10, (2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, self.EMPTY, np.int64), np.zeros(1 << bits)
-        todo, slot = np.arange(len(keys)), self._slot(keys)
+        self.keys, self.values = keys, values
+        self.places = np.full(1 << bits, -1, np.int32)
+        todo, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
         while len(todo):
-            free = self.keys[slot] == self.EMPTY
-            self.keys[slot[free]] = keys[todo[free]]  # of several for one slot the last stays
-            won = self.keys[slot] == keys[todo]
-            self.values[slot[won]] = values[todo[won]]
-            todo, slot = todo[~won], slot[~won] + 1 & self.mask
+            free = self.places[slot] < 0
+            self.places[slot[free]] = todo[free]  # of several for one slot the last stays
+            lost = self.places[slot] != todo
+            todo, slot = todo[lost], slot[lost] + 1 & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values, and which keys are absent."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.ones(len(keys), bool)
         slot = self._slot(keys)
-        found = self.keys[slot]
-        out, absent = self.values[slot], found == self.EMPTY
-        todo = np.flatnonzero((found != keys) & ~absent)
+        place = self.places[slot]
+        todo = np.flatnonzero((place >= 0) & (self.keys[place] != keys))
         while len(todo):
-            slot_ = slot[todo] = slot[todo] + 1 & self.mask
-            found = self.keys[slot_]
-            out[todo] = self.values[slot_]
-            absent[todo] = found == self.EMPTY
-            todo = todo[(found != keys[todo]) & (found != self.EMPTY)]
-        return out, absent
+            slot[todo] = slot[todo] + 1 & self.mask
+            here = place[todo] = self.places[slot[todo]]
+            todo = todo[(here >= 0) & (self.keys[here] != keys[todo])]
+        return self.values[place].astype(np.float64), place < 0
 
 
 def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +240,8 @@ def score(docs: DataFrame, max_nodes: int = 1 << 22, common: int = 1 << 17) -> D
     word_keys, word_n = _arrays(shipped)
     trie = Trie(grams_by_order(counts, max_nodes))
     deep = trie.orders[DEPTH]["keys"]
-    model = spark.sparkContext.broadcast((trie, deep, trie.log10(deep), word_keys, word_n))
+    known = [trie.log10(deep[i : i + (1 << 18)]).astype(np.float32) for i in range(0, len(deep), 1 << 18)]
+    model = spark.sparkContext.broadcast((trie, deep, np.concatenate([*known, np.zeros(0, np.float32)]), word_keys, word_n))
 
     out = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
