@@ -7,10 +7,11 @@ both, the disclosure of e by t is
 
     PMI(e;t) / IC(e) = log2(n(e,t) N / (n(e) n(t))) / log2(N / n(e))
 
-and a term that reaches `threshold` in at least `min_support` distinct texts, and there has at least
-as many different neighbours on either side, gives the entity away even when the entity itself has been
-removed. (Near copies repeat all their words beside the same neighbours; that is no evidence.) Such a term is removed (rare) or generalised
-(by its shape) wherever it stands in a text that holds the entity.
+and a term that reaches `threshold` in at least `min_support` distinct texts gives the entity away even
+when the entity itself has been removed. (Among these texts, those that share COPY_PERCENT of their
+words with another of them count as one: near copies are no evidence. All other counts are of all
+distinct texts.) Such a term is removed (rare) or generalised (by its shape) wherever it stands in a
+text that holds the entity.
 
 Defined cases: null text counts as empty; empty text has no spans; copies of a text count once in
 the statistics and get equal spans; a row comes out for every row that goes in, whatever its
@@ -44,6 +45,7 @@ GATES = {
 }
 WORD = r"[\p{L}\p{N}_]+"
 SLOTS = 1 << 21
+COPY_PERCENT = 80
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -114,13 +116,24 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
-def _mentions(near: DataFrame) -> DataFrame:
-    """(text_key, term, before, after): every word of the texts with the words around it, distinct."""
-    t = near.select("text_key", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("term"))
-    rest, edge = F.greatest(F.size("term") - 1, F.lit(0)), F.array(F.lit(""))
-    t = t.withColumns({"before": F.concat(edge, F.slice("term", F.lit(1), rest)), "after": F.concat(F.slice("term", F.lit(2), rest), edge)})
-    t = t.select("text_key", F.inline(F.arrays_zip("term", "before", "after"))).where("term is not null")
-    return t.select("text_key", "term", "before", "after").distinct()
+def _representatives(held: DataFrame, words: DataFrame) -> DataFrame:
+    """(entity, text_key, copy_of) of the texts that share COPY_PERCENT of their words with one of a smaller
+    key that holds the entity too. Such a pair shares one of the rarest words of either; of the texts with an
+    entity and a word each is compared with the first alone, so that a group of copies costs a row a copy."""
+    word = F.struct("n_near", F.xxhash64("term").alias("h"))
+    sets = words.groupBy("text_key").agg(F.sort_array(F.collect_list(word)).alias("w")).withColumn("n", F.size("w"))
+    needed = F.ceil(F.col("n") * COPY_PERCENT / 100).cast("int")
+    rarest = sets.select("text_key", "n", F.explode(F.slice("w", F.lit(1), F.col("n") - needed + 1)).alias("w")).where("w.n_near > 1")
+    dealt = held.select("entity", "text_key").join(rarest.select("text_key", "n", F.col("w.h").alias("h")), "text_key")
+    heads = dealt.groupBy("entity", "h").agg(F.min(F.struct("text_key", "n")).alias("head"), F.count("*").alias("k")).where("k > 1")
+    met = dealt.join(heads, ["entity", "h"]).select("entity", "text_key", "n", F.col("head.text_key").alias("head"), F.col("head.n").alias("m"))
+    met = met.where((F.col("text_key") != F.col("head")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * COPY_PERCENT)).distinct()
+    a = sets.select("text_key", F.col("w.h").alias("wa"))
+    b = sets.select(F.col("text_key").alias("head"), F.col("w.h").alias("wb"))
+    pairs = met.select("text_key", "head", "n", "m").distinct().join(a, "text_key").join(b, "head")
+    both = F.size(F.array_intersect("wa", "wb"))
+    alike = pairs.where(both * 100 >= (F.col("n") + F.col("m") - both) * COPY_PERCENT).select("text_key", "head")
+    return met.join(alike, ["text_key", "head"]).groupBy("entity", "text_key").agg(F.min("head").alias("copy_of"))
 
 
 def disclosing_terms(near: DataFrame, texts: DataFrame, threshold: float, min_support: int) -> DataFrame | None:
@@ -135,12 +148,16 @@ def disclosing_terms(near: DataFrame, texts: DataFrame, threshold: float, min_su
     total = texts.select("text_key").distinct().count()
     # The threshold on PMI / IC as one on n(t): n(t) <= n(e,t) (N / n(e)) ^ (1 - threshold).
     most = F.col("n_et") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1.0 - threshold)) + F.lit(1e-9)
-    words = materialize(_mentions(near.join(held.select("text_key").distinct(), "text_key", "left_semi")), "pii-near-words")
-    pairs = words.join(held, "text_key").groupBy("entity", "term", "n_e").agg(F.count_distinct("text_key").alias("n_et"), F.least(F.count_distinct("before"), F.count_distinct("after")).alias("contexts"))
-    pairs = pairs.where((F.col("n_et") >= min_support) & (F.col("contexts") >= min_support) & (F.col("n_e") < total)).withColumn("most", most)
-    # A term's count among all texts with entities is at most its n(t): what is too common there is out.
+    # A term's count among all texts with entities is at most its n(t), and n(e,t) at most n(e): a term that is too
+    # common or too rare there is out.
     least = near.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
-    pairs = materialize(pairs.join(least, "term").where(F.col("n_near") <= F.col("most")).select("entity", "term", "most"), "pii-pairs")
+    words = near.join(held.select("text_key").distinct(), "text_key", "left_semi").select("text_key", F.explode(_words(F.col("text"))).alias("term"))
+    words = materialize(words.join(least, "term"), "pii-near-words")
+    held = materialize(held.join(_representatives(held, words), ["entity", "text_key"], "left").withColumn("source", F.coalesce("copy_of", "text_key")).drop("copy_of"), "pii-entity-sources")
+    open_words = words.where(F.col("n_near") >= min_support).join(held, "text_key").withColumn("n_et", F.col("n_e")).where(F.col("n_near") <= most)
+    pairs = open_words.groupBy("entity", "term", "n_e", "n_near").agg(F.count("*").alias("n_et"), F.count_distinct("source").alias("sources"))
+    pairs = pairs.where((F.col("sources") >= min_support) & (F.col("n_e") < total)).withColumn("most", most)
+    pairs = materialize(pairs.where(F.col("n_near") <= F.col("most")).select("entity", "term", "most"), "pii-pairs")
     if pairs.isEmpty():
         return None
     open_ = pairs.select("term").distinct()

@@ -146,6 +146,18 @@ def test_terms_that_give_an_entity_away(spark):
     assert clean[3]["text"] == "Codename w3 [TERM] v3 met [EMAIL] about item3" and clean[201]["text"] is None and clean[3].asDict().keys() == {"doc_id", "text", "value"}
 
 
+def test_terms_in_fixed_phrases_give_an_entity_away(spark):
+    rows = [(i, f"Codename Zebra0 met ann@corp.example about item{i}") for i in range(6)]
+    rows += [(10 + i, f"w{i} v{i} Mary Quill u{i} t{i} writes from max@home.example s{i}") for i in range(4)]
+    rows += [(30 + i, f"All that these same words say is bob@site.example zulu yankee, copy {i}") for i in range(6)]
+    rows += [(100 + i, f"about the item{i} met codename nobody writes from word{i % 7}") for i in range(60)]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    terms = lambda i: [s["value"] for s in got[i]["spans"] if s["kind"] == pii.KINDS.index("term")]
+    assert all(terms(i) == ["Zebra0"] for i in range(6))
+    assert all(terms(10 + i) == ["Mary", "Quill"] for i in range(4))
+    assert not any(terms(30 + i) for i in range(6)) and not any(terms(100 + i) for i in range(60))
+
+
 def test_pii_odd_cases(spark):
     assert pii.report(pii.find(spark.createDataFrame([], "doc_id bigint, text string"))).count() == 0
     twice = spark.createDataFrame([(1, "x@y.zz 1.1.1.1"), (1, "x@y.zz 1.1.1.1"), (None, "+1 555 010 99990")], "doc_id bigint, text string")
