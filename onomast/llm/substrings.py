@@ -69,27 +69,47 @@ def units(docs: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, min_bytes: int = 120) -> DataFrame:
-    """(doc_id, start_byte, end_byte, n_units, first) for every place of a repeated passage: `first`
-    where it stands in the first document, by id, that holds any of it."""
+    """(doc_id, start_byte, end_byte, n_units, first, first_parts) for every place of a repeated passage:
+    `first` where this is the first document, by id, that holds any of it; first_parts are the stretches
+    (start_byte, end_byte) of it of which that is so, all or some or none of the place."""
     cut = materialize(units(docs), "cdc-units")
     row = F.struct("doc_id", "row_key")
     held = Window.partitionBy("digest")
     shared = cut.withColumn("low", F.min(row).over(held)).withColumn("high", F.max(row).over(held)).where(F.col("low") != F.col("high"))
     shared = shared.select("doc_id", "row_key", "i", "start", "end", (F.col("low") == row).alias("first"))
     run = F.col("i") - F.row_number().over(Window.partitionBy("row_key").orderBy("i"))
-    runs = shared.withColumn("run", run).groupBy("row_key", "run").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start_byte"), F.max("end").alias("end_byte"), F.count("*").alias("n_units"), F.bool_and("first").alias("first")
+    # The units of a run may stand first in different documents: its parts are the stretches of one answer.
+    part = F.col("i") - F.row_number().over(Window.partitionBy("row_key", "first").orderBy("i"))
+    parts = shared.withColumn("run", run).withColumn("part", part).groupBy("row_key", "run", "first", "part").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start_byte"), F.max("end").alias("end_byte"), F.count("*").alias("n_units")
+    )
+    own = F.sort_array(F.collect_list(F.when(F.col("first"), F.struct("start_byte", "end_byte"))))
+    runs = parts.groupBy("row_key", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), F.sum("n_units").alias("n_units"), F.bool_and("first").alias("first"), own.alias("first_parts")
     )
     return runs.where(F.col("end_byte") - F.col("start_byte") >= min_bytes).drop("row_key", "run")
 
 
+def _cuts(places: list[dict]) -> Iterator[tuple[int, int]]:
+    """What is left of the places without the parts that stand first here."""
+    for p in places:
+        at = p["start_byte"]
+        for own in p["first_parts"]:
+            if at < own["start_byte"]:
+                yield at, own["start_byte"]
+            at = max(at, own["end_byte"])
+        if at < p["end_byte"]:
+            yield at, p["end_byte"]
+
+
 def without_repeats(docs: DataFrame, min_bytes: int = 120) -> DataFrame:
-    """docs with every repeated passage cut from their text but where it stands first. Ids must be
+    """docs with every repeated passage cut from their text but where it, or a part of it, stands first. Ids must be
     unique; null texts stay null, and a text that is all repeats becomes empty."""
     if "__cuts" in docs.columns:
         raise ValueError("the column __cuts is this operator's own")
     found = repeated_passages(docs, min_bytes).where("not first and doc_id is not null")
-    cut_at = found.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.array("start_byte", "end_byte"))).alias("__cuts"))  # of one text
+    place = F.struct("start_byte", "end_byte", "first_parts")
+    cut_at = found.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(place)).alias("__cuts"))  # of one text
     joined = docs.join(cut_at, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -99,7 +119,7 @@ def without_repeats(docs: DataFrame, min_bytes: int = 120) -> DataFrame:
             for text, cuts_ in zip(b["text"].to_pylist(), b["__cuts"].to_pylist(), strict=True):
                 if text is not None and cuts_:
                     raw, at, kept = text.encode(), 0, []
-                    for start, end in cuts_:
+                    for start, end in _cuts(cuts_):
                         kept.append(raw[at:start])
                         at = max(at, end)
                     # A chunk may end within a character; what is left of one goes with the passage.

@@ -187,6 +187,22 @@ def test_repeats_are_cut_but_where_they_stand_first(spark):
     assert got[501]["text"] == "é" * 400 and got[502]["text"] == ""
 
 
+def test_a_longer_copy_keeps_what_it_is_first_to_hold(spark):
+    rng = random.Random(8)
+    start, end = (" ".join(f"{rng.getrandbits(40):x}" for _ in range(60)) for _ in range(2))
+    df = spark.createDataFrame([(1, start), (2, f"{start} {end}"), (3, f"{start} {end}")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in substrings.without_repeats(df).collect()}
+    assert got[1] == start and got[2].endswith(f" {end}") and len(got[2]) < len(end) + 300 and got[3] == ""
+    _, _, digest, _, _ = substrings.units_of([start, f"{start} {end}"])
+    kept = substrings.units_of([got[1], got[2]])[2]
+    assert set(digest.tolist()) - set(kept.tolist()) <= set(substrings.units_of([start])[2].tolist()[-1:])
+    places = {r["doc_id"]: r for r in substrings.repeated_passages(df).collect()}
+    assert [(r["first"], r["start_byte"]) for _, r in sorted(places.items())] == [(True, 0), (False, 0), (False, 0)]
+    own = {i: [tuple(p) for p in r["first_parts"]] for i, r in places.items()}
+    assert own[1] == [(0, places[1]["end_byte"])] and own[3] == [] and len(own[2]) == 1
+    assert 0 < own[2][0][0] <= len(start) and own[2][0][1] == len(start) + 1 + len(end)
+
+
 def test_substring_units_match_plain_counting(spark, sf):
     docs = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
     _, _, digest, start, end = substrings.units_of([t for _, t in docs])
