@@ -7,9 +7,10 @@ and the symbols of the contexts left behind are excluded there. Below the empty
 left are equally likely. Byte 255, which no UTF-8 text holds, pads the start of a text and ends it.
 A text's score is its log10 probability under the pretrained model, its end included.
 
-Counting covers every whole training text. As the trie is shipped to every executor its nodes are
-bounded: contexts of up to 2 bytes are always whole (at most 256^3 counts); of the deeper ones the
-most frequent `max_nodes` are kept, and all others are predicted by escape, as any unseen context.
+Counting covers every whole training text, and every count takes part in the scores. Where more than
+`max_nodes` grams were counted, contexts of up to 2 bytes (at most 256^3 counts) are shipped with the
+finished values of at most `max_nodes` frequent grams; all other grams of the texts, and these values
+themselves, are worked out by joins with the counts of the deeper contexts, which stay distributed.
 
 The base score is a smoothed unigram model over words; its word counts grow with the corpus and
 stay distributed: the `common` most frequent words are shipped, all others are joined.
@@ -35,6 +36,7 @@ from onomast.llm.langid import remainder
 
 DEPTH = 5
 END = 255
+SHIPPED = 2  # contexts of up to so many bytes are always shipped
 _WORD, _GRAM = 0, 1
 _UPPER = bytes(range(256)).lower()
 
@@ -139,28 +141,30 @@ class Trie:
         at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
         return np.where(table[at] == keys, at, -1)
 
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each packed (context, byte)."""
+    def _seen(self, k: int, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(total, kinds, below) of the keys' contexts of order k and the keys' counts, 0 where absent."""
+        o, key = self.orders[k], keys & ((1 << (8 * (k + 1))) - 1)
+        if not len(o["keys"]):
+            return (np.zeros(len(key), np.int64),) * 4
+        ctx, at = self._find(o["ctx"], key >> 8), self._find(o["keys"], key)
+        return (*(np.where(ctx >= 0, o[c][ctx], 0) for c in ("total", "kinds", "below")), np.where(at >= 0, o["n"][at], 0))
+
+    def log10(self, keys: np.ndarray, deep: dict[int, tuple[np.ndarray, ...]] | None = None) -> np.ndarray:
+        """log10 probability of each packed (context, byte). deep: (total, kinds, below, n) of each key by
+        order, zeros where nothing was counted, for the orders that this trie doesn't hold."""
         out, open_ = np.zeros(len(keys)), np.arange(len(keys))
         gone, gone_kinds = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         for k in range(DEPTH, -1, -1):
             if not len(open_):
                 return out
-            o = self.orders[k]
-            key = keys[open_] & ((1 << (8 * (k + 1))) - 1)
-            ctx = self._find(o["ctx"], key >> 8)
-            has = ctx >= 0
-            total = np.where(has, o["total"][ctx] - gone[open_], 0) if len(o["ctx"]) else np.zeros(len(key))
-            kinds = np.where(has, o["kinds"][ctx] - gone_kinds[open_], 0) if len(o["ctx"]) else np.zeros(len(key))
-            at = self._find(o["keys"], key)
-            hit = at >= 0
-            n = np.where(hit, o["n"][at], 0) if len(o["keys"]) else np.zeros(len(key))
+            c_total, c_kinds, below, n = (x[open_] for x in deep[k]) if k >= len(self.orders) else self._seen(k, keys[open_])
+            has, hit = c_kinds > 0, n > 0
+            total, kinds = np.where(has, c_total - gone[open_], 0), np.where(has, c_kinds - gone_kinds[open_], 0)
             out[open_[hit]] += np.log10(n[hit] / (total[hit] + kinds[hit]))
             esc = ~hit & (kinds > 0)
             out[open_[esc]] += np.log10(kinds[esc] / (total[esc] + kinds[esc]))
             left = open_[~hit]
-            gone[left] = np.where(has[~hit], o["below"][ctx[~hit]] if len(o["ctx"]) else 0, 0)
-            gone_kinds[left] = np.where(has[~hit], o["kinds"][ctx[~hit]] if len(o["ctx"]) else 0, 0)
+            gone[left], gone_kinds[left] = below[~hit], c_kinds[~hit]
             open_ = left
         out[open_] -= np.log10(np.maximum(1, 256 - gone_kinds[open_]))
         return out
@@ -206,15 +210,48 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
-def grams_by_order(counts: DataFrame, max_nodes: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Bounded gram counts of order 0 to DEPTH, sorted by key."""
-    full, found = counts.where(F.col("kind") == _GRAM).select("key", "n"), []
-    for k in range(DEPTH + 1):
-        at = full.groupBy(F.col("key").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("key")).agg(F.sum("n").alias("n"))
-        if k > 2:  # one threshold for all deep orders, so that what a context has seen its suffix has too
-            at = at.where(F.col("n") >= _least(full, max_nodes))
-        found.append(_arrays(at))
-    return found
+def _of_order(grams: DataFrame, k: int) -> DataFrame:
+    """(key, n) of order k from those of a higher order."""
+    return grams.groupBy(F.col("key").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("key")).agg(F.sum("n").alias("n"))
+
+
+def grams_by_order(grams: DataFrame, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Gram counts of order 0 to depth, sorted by key."""
+    return [_arrays(_of_order(grams, k)) for k in range(depth + 1)]
+
+
+class DeepCounts:
+    """The counts of orders SHIPPED + 1 to DEPTH as written tables, a row a context, and the trie of all others."""
+
+    def __init__(self, grams: DataFrame):
+        self.contexts, upper = {}, grams
+        for k in range(DEPTH, SHIPPED, -1):
+            lower = materialize(_of_order(upper, k - 1), f"ppm-order-{k - 1}")
+            suffix = F.col("key").bitwiseAND((1 << (8 * k)) - 1).alias("suffix")
+            met = upper.select("key", "n", suffix).join(lower.select(F.col("key").alias("suffix"), F.col("n").alias("m")), "suffix")
+            byte = F.col("key").bitwiseAND(255).cast("int")
+            row = met.groupBy(F.shiftright("key", 8).alias(f"c{k}")).agg(
+                F.sum("n").alias(f"total{k}"), F.count("*").alias(f"kinds{k}"), F.sum("m").alias(f"below{k}"), F.map_from_entries(F.collect_list(F.struct(byte, "n"))).alias(f"seen{k}")
+            )
+            self.contexts[k], upper = materialize(row, f"ppm-contexts-{k}"), lower
+        self.trie = Trie(grams_by_order(upper, SHIPPED))
+
+    def values(self, keys: DataFrame) -> DataFrame:
+        """(key, value): log10 probability of each of the distinct keys."""
+        deep, names = list(self.contexts), ("total", "kinds", "below", "n")
+        for k in deep:
+            context = F.shiftright(F.col("key").bitwiseAND((1 << (8 * (k + 1))) - 1), 8).alias(f"c{k}")
+            keys = keys.select("*", context).join(self.contexts[k], f"c{k}", "left")
+            keys = keys.withColumn(f"n{k}", F.try_element_at(f"seen{k}", F.col("key").bitwiseAND(255).cast("int"))).drop(f"c{k}", f"seen{k}")
+        keys = keys.select("key", *(F.coalesce(f"{x}{k}", F.lit(0).cast("bigint")).alias(f"{x}{k}") for k in deep for x in names))
+        model = keys.sparkSession.sparkContext.broadcast(self.trie)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = {k: tuple(b[f"{x}{k}"].to_numpy() for x in names) for k in deep}
+                yield pa.RecordBatch.from_arrays([b["key"], pa.array(model.value.log10(b["key"].to_numpy(), found))], names=["key", "value"])
+
+        return in_batches(keys, run, "key bigint, value double", rows=1 << 16)
 
 
 def _least(grams: DataFrame, max_nodes: int) -> int:
@@ -228,6 +265,15 @@ def _least(grams: DataFrame, max_nodes: int) -> int:
     return high
 
 
+def _by_text(text: np.ndarray, keys: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """For each of n texts its distinct keys, and how often each is there."""
+    order = np.lexsort((keys, text))
+    text, keys = text[order], keys[order]
+    new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (keys[1:] != keys[:-1])])) if len(keys) else np.zeros(0, np.int64)
+    at = pa.array(np.searchsorted(text[new], np.arange(n + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(at, pa.array(keys[new])), pa.ListArray.from_arrays(at, pa.array(np.diff(np.append(new, len(keys)))))
+
+
 def score(docs: DataFrame, max_nodes: int = 1 << 22, common: int = 1 << 17) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row."""
     spark = docs.sparkSession
@@ -238,12 +284,20 @@ def score(docs: DataFrame, max_nodes: int = 1 << 22, common: int = 1 << 17) -> D
     total, kinds = (int(x or 0) for x in words.agg(F.sum("n"), F.count("*")).first())
     shipped = words.orderBy(F.desc("n"), "key").limit(common).select("key", "n")
     word_keys, word_n = _arrays(shipped)
-    trie = Trie(grams_by_order(counts, max_nodes))
-    deep = trie.orders[DEPTH]["keys"]
-    known = [trie.log10(deep[i : i + (1 << 18)]).astype(np.float32) for i in range(0, len(deep), 1 << 18)]
-    model = spark.sparkContext.broadcast((trie, deep, np.concatenate([*known, np.zeros(0, np.float32)]), word_keys, word_n))
-
-    out = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+    grams = counts.where(F.col("kind") == _GRAM).select("key", "n")
+    least = _least(grams, max_nodes)
+    if least == 1:  # all counts are shipped, and no gram of a text is left for a join
+        far, trie = None, Trie(grams_by_order(grams))
+        deep = trie.orders[DEPTH]["keys"]
+        known = [trie.log10(deep[i : i + (1 << 18)]).astype(np.float32) for i in range(0, len(deep), 1 << 18)]
+        values = np.concatenate([*known, np.zeros(0, np.float32)])
+    else:
+        far, trie = DeepCounts(grams), None
+        got = far.values(grams.where(F.col("n") >= least).select("key")).select("key", F.col("value").cast("float")).toArrow()
+        deep, values = got["key"].to_numpy(), got["value"].to_numpy()
+    model = spark.sparkContext.broadcast((trie, deep, values, word_keys, word_n))
+
+    out = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64())), ("gram_times", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -256,9 +310,13 @@ def score(docs: DataFrame, max_nodes: int = 1 << 22, common: int = 1 << 17) -> D
             tidy = [_tidy(t) for t in b["text"].to_pylist()]
             keys, first = gram_keys(tidy)
             value, absent = table.get(keys)
-            if absent.any():
+            left = np.zeros(0, np.int64)
+            if trie is None:
+                value[absent], left = 0, np.flatnonzero(absent)
+            elif absent.any():
                 new, back = np.unique(keys[absent], return_inverse=True)
                 value[absent] = trie.log10(new)[back]
+            grams = _by_text(np.searchsorted(first, left, side="right") - 1, keys[left], len(tidy))
             scores = np.add.reduceat(value, first) if len(tidy) else []
             rows = []
             for k, t in enumerate(tidy):
@@ -282,9 +340,9 @@ def score(docs: DataFrame, max_nodes: int = 1 << 22, common: int = 1 << 17) -> D
             if len(logs) > 1 << 18:
                 logs.clear()
             c = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), b["doc_id"], b["held_out"], *(pa.array(x, t) for x, t in zip(c[1:], out.types[3:], strict=True))], schema=out)
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), b["doc_id"], b["held_out"], *(pa.array(x, t) for x, t in zip(c[1:], out.types[3:-2], strict=True)), *grams], schema=out)
 
-    schema = "row_id bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, score double, rare array<bigint>, times array<bigint>"
+    schema = "row_id bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, score double, rare array<bigint>, times array<bigint>, grams array<bigint>, gram_times array<bigint>"
     scored = materialize(in_batches(docs, run, schema), "ppm-scored")
     model.unpersist()
     ends = counts_of_end(docs)
@@ -297,8 +355,15 @@ def score(docs: DataFrame, max_nodes: int = 1 << 22, common: int = 1 << 17) -> D
     end_log = math.log10(ends + 0.1)
     base = F.col("logs") + F.coalesce(F.col("more"), F.lit(0.0)) + F.lit(end_log) - F.col("n_tokens") * F.lit(below)
     known = F.col("known") + F.coalesce(F.col("more_known"), F.lit(0)) + F.lit(1 if ends else 0)
-    return scored.drop("rare", "times").join(made_up, "row_id", "left").select(
-        "doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
+    rows = scored.drop("rare", "times", "grams", "gram_times").join(made_up, "row_id", "left")
+    whole = F.col("score")
+    if far:
+        asked = scored.select("row_id", F.explode(F.arrays_zip("grams", "gram_times")).alias("g")).select("row_id", F.col("g.grams").alias("key"), F.col("g.gram_times").alias("times"))
+        values = materialize(far.values(asked.select("key").distinct()), "ppm-values")
+        rows = rows.join(asked.join(values, "key").groupBy("row_id").agg(F.sum(F.col("times") * F.col("value")).alias("far")), "row_id", "left")
+        whole = F.col("score") + F.coalesce("far", F.lit(0.0))
+    return rows.select(
+        "doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), whole.alias("score")
     )
 
 

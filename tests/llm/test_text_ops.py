@@ -302,6 +302,14 @@ def test_scores_match_a_plain_trie(spark, sf):
     check_scores({r["doc_id"]: r for r in ppm.score(df, common=50).collect()}, docs)
 
 
+def test_what_is_shipped_does_not_change_scores(spark, sf):
+    docs = table(spark, sf, "documents")
+    whole, part = ({r["doc_id"]: r["score"] for r in ppm.score(docs, **more).collect()} for more in ({}, {"max_nodes": 2000}))
+    assert whole.keys() == part.keys() and all(part[i] == pytest.approx(whole[i], rel=1e-6) for i in whole)
+    few = sorted(documents(spark, sf), key=lambda d: d["doc_id"])[:20]
+    check_scores({r["doc_id"]: r for r in ppm.score(frame(spark, [(d["doc_id"], d["text"], None, None) for d in few]), max_nodes=300).collect()}, few)
+
+
 def test_a_bounded_trie_still_scores(spark, sf):
     docs = table(spark, sf, "documents")
     rows = ppm.score(docs, max_nodes=2000).collect()
