@@ -590,6 +590,11 @@ mined AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY score DESC, ne
 
 @query(f"WITH {MINED} SELECT * FROM mined WHERE rank <= 10")
 def mine_exhaustive(spark, d):
+    return mining.mine_exhaustive(_vectors(spark, d), pairs_per_group=200)
+
+
+@query()
+def mine_exhaustive_all(spark, d):
     return mining.mine_exhaustive(_vectors(spark, d))
 
 
@@ -604,6 +609,11 @@ def mine_sampled(spark, d):
     return mining.mine_sampled(_vectors(spark, d), groups=3, pairs_per_group=50)
 
 
+@query()
+def mine_sampled_all(spark, d):
+    return mining.mine_sampled(_vectors(spark, d))
+
+
 @query(
     f"""WITH {NEAR.format(k=205)}, m AS (SELECT id, grp, v, row_number() OVER (PARTITION BY grp ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM e),
 anchors AS (SELECT a.id AS anchor, a.grp, p.id AS positive, {DOT.format("a.v", "p.v")} AS pos FROM m a JOIN m p ON p.grp = a.grp AND p.i = (a.i + 1 + {h(42, "a.grp", "a.id", "'p'")} % (a.n - 1)) % a.n WHERE a.n >= 2),
@@ -619,6 +629,11 @@ def mined_per_group(spark, d):
     return _rounded(mining.written_per_group(mine_exhaustive(spark, d)), "mean", "p95")
 
 
+@query()
+def mined_per_group_all(spark, d):
+    return _rounded(mining.written_per_group(mine_exhaustive_all(spark, d)), "mean", "p95")
+
+
 @query()
 def ivf_knn(spark, d):
     return knn.ivf_knn(_vectors(spark, d), 5, nlist=32, nprobe=8)

@@ -176,6 +176,18 @@ def test_miners_hold_their_masks(spark):
     assert capped and all(r["count"] <= 5 for r in capped)
 
 
+def test_miners_take_every_pair(spark):
+    v, df = vectors_of(spark, 120)
+    s, want = np.round(v @ v.T, 6), set()
+    for a in range(120):
+        for b in range(a + 5, 120, 5):
+            held = [j for j in range(120) if j % 5 != a % 5 and round(s[a, b] - 0.2, 8) <= s[a, j] < s[a, b]]
+            want |= {(a, b, j, k + 1) for k, j in enumerate(sorted(held, key=lambda j: (-s[a, j], j))[:3])}
+    assert len({(a, b) for a, b, _, _ in want}) > 5 * 200
+    for mined in (mining.mine_exhaustive(df, 0.2, 3), mining.mine_sampled(df, 0.2, 3, groups=4)):
+        assert {(r["a"], r["b"], r["neg"], r["rank"]) for r in mined.collect()} == want
+
+
 def scored(spark, rows):
     return spark.createDataFrame(rows, "y int, score double")
 
