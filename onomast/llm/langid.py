@@ -48,6 +48,10 @@ def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return none, none, none
     code = np.frombuffer("".join(parts).encode("utf-32-le", "replace"), "<u4")
     unit = np.where(code < 1 << 16, _units()[np.minimum(code, _OTHER)], _OTHER)
+    far = np.flatnonzero(code >= 1 << 16)
+    if len(far):
+        distinct, back = np.unique(code[far], return_inverse=True)
+        unit[far] = np.array([_OTHER if chr(c).isalpha() else _EDGE for c in distinct.tolist()])[back]
     doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     keep = np.ones(len(unit), bool)
     keep[1:] = (unit[1:] != _EDGE) | (unit[:-1] != _EDGE) | (doc[1:] != doc[:-1])

@@ -110,6 +110,14 @@ def tricky(seed, n):
     return ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(n)]
 
 
+def test_supplementary_symbols_are_no_letters(spark):
+    rows = [(i, f"words of one language {i}", "en", None) for i in range(8)] + [(20, "😀😀 🎉", None, None), (21, "😀" * 50, "en", None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(frame(spark, rows)).collect()}
+    assert got[20] == got[21] == "und" and got[0] == "en"
+    doc, gram, count = langid.ngram_counts(["𐐷😀𐐷"])
+    assert dict(zip(gram.tolist(), count.tolist(), strict=True))[0xFFFF] == 2
+
+
 def test_base_spans_match_plain_search(spark, sf):
     texts = [*tricky(1, 3000), *(d["text"] for d in documents(spark, sf)), "", "1" * 30_000, "a" * 30_000, "a." * 9000 + "@b.c", "+1" + "(" * 20_000, "1 " * 20_000]
     rows = pii.report(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))).collect()
