@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _local_scratch: dict[str, str] = {}
 
 
@@ -91,18 +93,34 @@ def cut_batches(batches: Iterable[pa.RecordBatch], rows: int, most_bytes: int) -
             at = end
 
 
+def give_back() -> None:
+    """Return what a finished task's batches took: the worker lives on, and so would its free memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches to Python are bounded by bytes, not by rows alone, unless the session says how."""
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        with contextlib.suppress(Exception):  # versions that don't have it
+            spark.conf.set(_BATCH_BYTES, str(2 << 20))
+
+
 def in_batches(
     df: DataFrame,
     fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str,
     rows: int = 1000,
-    most_bytes: int = 2 << 20,
+    most_bytes: int = 1 << 20,
 ) -> DataFrame:
     """mapInArrow that hands fn small batches, however large Spark's are, so that memory is bounded by
     most_bytes or the longest row."""
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return fn(cut_batches(batches, rows, most_bytes))
+        yield from fn(cut_batches(batches, rows, most_bytes))
+        give_back()
 
     return df.mapInArrow(run, schema)
 

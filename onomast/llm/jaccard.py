@@ -42,13 +42,14 @@ from onomast.llm.words import hashed_words, mix
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 SLOTS = 1 << 24
 KEPT_SLOTS = 1 << 21
-BLOCK = 600  # rows of a ring that go into one block
+BLOCK = 600  # rows of a ring that go into one block at most
+BLOCK_SHINGLES = 1 << 18  # and how many shingles they have, but for a single longer row
 COLUMNS = 4096  # shingles of one matrix product
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    flat, _, _, lengths, _ = hashed_words(texts)
+    flat, lengths = hashed_words(texts)
     rolled = np.zeros(max(0, len(flat) - words + 1), np.uint64)
     for j in range(words):
         rolled = rolled * _MULT + flat[j : j + len(rolled)]
@@ -154,7 +155,7 @@ def members(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 if len(s) and (i := set_id(s)) not in seen:
                     sets[i] = s
             seen.update(sets)
-            if len(seen) > 1 << 20:
+            if len(seen) > 1 << 16:
                 seen.clear()
             which, keys, tags = region_keys(list(sets.values()), percent)
             ids = np.array(list(sets), np.int64)
@@ -197,21 +198,22 @@ def needed_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (id, pivot) with `inter`, `total` (of the union), `d` and `linked`, written."""
+    """pairs (id, pivot) with `n` (the set's size), `inter`, `total` (of the union), `d` and `linked`, written."""
     others = narrowed(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("other")), "pivot", pairs)
     joined = pairs.join(narrowed(sets, "id", pairs), "id").join(others, "pivot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            inter, total = [], []
+            size, inter, total = [], [], []
             for x, y in zip(b["shingles"], b["other"], strict=True):
                 x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
                 n = len(np.intersect1d(x, y, assume_unique=True))
+                size.append(len(x))
                 inter.append(n)
                 total.append(len(x) + len(y) - n)
-            yield pa.RecordBatch.from_arrays([b["id"], b["pivot"], pa.array(inter, pa.int64()), pa.array(total, pa.int64())], names=["id", "pivot", "inter", "total"])
+            yield pa.RecordBatch.from_arrays([b["id"], b["pivot"], *(pa.array(c, pa.int64()) for c in (size, inter, total))], names=["id", "pivot", "n", "inter", "total"])
 
-    measured = in_batches(joined.select("id", "pivot", "shingles", "other"), run, "id bigint, pivot bigint, inter bigint, total bigint")
+    measured = in_batches(joined.select("id", "pivot", "shingles", "other"), run, "id bigint, pivot bigint, n bigint, inter bigint, total bigint")
     linked = 100 * F.col("inter") >= percent * F.col("total")
     return materialize(measured.withColumn("d", 1 - F.col("inter") / F.col("total")).withColumn("linked", linked), "jaccard-verified")
 
@@ -234,10 +236,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join_cells(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect what is linked within cells(pivot, id, ring, linked), written. A row of
-    a ring meets the rows of its own and the next rings; rings of more than BLOCK rows are dealt to
-    blocks, and each two blocks meet in a task of their own."""
-    sizes = cells.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    """Edges (a, b) that connect what is linked within cells(pivot, id, n, ring, linked), written. A row
+    of a ring meets the rows of its own and the next rings; rings of more rows or shingles than a block
+    takes are dealt to blocks, and each two blocks meet in a task of their own."""
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = cells.groupBy("pivot", "ring").agg(blocks.alias("blocks"))
     rings = sizes.groupBy("pivot").agg(F.map_from_entries(F.collect_list(F.struct("ring", "blocks"))).alias("rings"))  # at most 1 / r entries
     rows = materialize(cells.join(rings, "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("rings")[F.col("ring")]).cast("int")), "jaccard-rings")
     near = F.filter(F.array(*(F.col("ring") + x for x in (-1, 0, 1))), lambda x: F.map_contains_key("rings", x))
@@ -294,10 +297,10 @@ def links(docs: DataFrame, words: int, percent: int) -> DataFrame:
     found = done.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     # What the window of an outside set replicates to it: d >= d(outside) - r.
     slack = 1e-6
-    open_ = done.groupBy("pivot").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("outside"), F.count("*").alias("n")).where("outside is not null and n > 1")
+    open_ = done.groupBy("pivot").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("outside"), F.count("*").alias("held")).where("outside is not null and held > 1")
     cells = done.join(open_, "pivot").where(F.col("d") >= F.col("outside") - r - slack)
     ring = F.floor(F.col("d") / (r + slack)).cast("int")
-    cells = cells.select("pivot", "id", "linked", F.when(F.col("linked"), ring).otherwise(F.greatest(ring, F.lit(1))).alias("ring"))
+    cells = cells.select("pivot", "id", "n", "linked", F.when(F.col("linked"), ring).otherwise(F.greatest(ring, F.lit(1))).alias("ring"))
     edges = materialize(found.unionByName(join_cells(cells, sets, percent)).distinct(), "jaccard-edges")
     discard(held, ranked, sets, done)
     return edges

@@ -98,7 +98,7 @@ def fit(docs: DataFrame, training, profile: int = 400, sample_docs: int = 2000)
                 _, gram, n = ngram_counts([joined])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n)], schema=out)
 
-    counted = in_batches(sample.select("lang", "text"), run, "lang string, gram bigint, n bigint")
+    counted = in_batches(sample.select("lang", "text"), run, "lang string, gram bigint, n bigint", most_bytes=1 << 19)
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
     found: dict[str, list[int]] = {}
@@ -150,7 +150,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], carry: list[str],
             names = [n for n in b.schema.names if n != "__text"]
             yield pa.RecordBatch.from_arrays([*(b[n] for n in names), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return in_batches(wanted, run, f"{fields}, lang_pred string, score double")
+    return in_batches(wanted, run, f"{fields}, lang_pred string, score double", most_bytes=1 << 19)
 
 
 def remainder(id_col: str, mod: int):

@@ -32,18 +32,25 @@ def _byte_of_char() -> dict[str, int]:
 
 class Encoder:
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         of = _byte_of_char()
         ranks = {bytes(of[c] for c in token): i for token, i in model["vocab"].items() if all(c in of for c in token) and not token.startswith("<|")}
         self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def exact(self):
+        """Loaded when the first text needs it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
+
     def __call__(self, text: str) -> list[int]:
         if _BEYOND.search(text):
             return self.exact.encode(text, add_special_tokens=False).ids
