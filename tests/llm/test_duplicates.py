@@ -76,6 +76,35 @@ def test_components_match_all_pairs(spark, k, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(docs, k, percent)
 
 
+def test_regions_are_split_by_pivots(spark, monkeypatch):
+    """Blocks of three rows: regions are split again and again, or joined block by block."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
+    docs = near_copies(11, 25, 6)
+    rows = spark.createDataFrame(docs, SCHEMA)
+    split, turns = jaccard.split, []
+    monkeypatch.setattr(jaccard, "split", lambda rows, turn: turns.append(turn) or split(rows, turn))
+    got = jaccard.cluster(rows, 4, 85).collect()
+    assert turns and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(docs, 4, 85)
+
+
+def test_sketches_never_lie_farther_apart_than_the_sets():
+    rng = np.random.default_rng(4)
+    for n in (1, 9, 60, 700):
+        for _ in range(30):
+            x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            y = np.unique(np.concatenate([x[: rng.integers(0, len(x) + 1)], rng.integers(0, 1 << 63, rng.integers(0, n + 1)).astype(np.uint64)]))
+            apart = len(np.setxor1d(x, y))
+            for bits in (64, 512, 4096):
+                a, b = (jaccard.sketch(s, 4096) for s in (x, y))
+                assert jaccard.folded(a, bits).tobytes() == jaccard.sketch(x, bits)
+                h = int(np.bitwise_count(jaccard.folded(a, bits) ^ jaccard.folded(b, bits)).sum())
+                assert h <= apart
+                both = len(np.intersect1d(x, y))
+                if 100 * both >= 85 * (len(x) + len(y) - both):
+                    assert jaccard.may_link(len(x), len(y), h, 85)
+
+
 def test_components_whole_table(spark, sf):
     docs = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
     got = jaccard.cluster(table(spark, sf, "documents")).collect()
