@@ -1,22 +1,26 @@
 r"""Personal data: patterns, and terms that reveal protected entities (native Spark SQL only).
 
 Base kinds are found per text by regular expressions, with code-point spans. On top of them an
-information-theoretic sanitiser looks at the corpus: the protected entities are the base values;
-with N distinct texts, n(e) of them holding entity e, n(t) holding term t and n(e,t) holding
-both, the disclosure of e by t is
+information-theoretic sanitiser looks at the corpus. What is protected is each base value and what
+can be known of it: its parts (an email's name and domain, a phone's area, a card's issuer, an
+address's network) and its kind. Most values stand in one text alone, where nothing can be
+estimated; their parts and kinds recur. For such a concept c, with N distinct texts, n(c) of them
+holding c, n(t) holding term t and n(c,t) holding both, the disclosure of c by t is
 
-    PMI(e;t) / IC(e) = log2(n(e,t) N / (n(e) n(t))) / log2(N / n(e))
+    PMI(c;t) / IC(c) = log2(n(c,t) N / (n(c) n(t))) / log2(N / n(c))
 
-and a term that reaches `threshold` in at least `min_support` distinct texts gives the entity away even
-when the entity itself has been removed. (Among these texts, those that share COPY_PERCENT of their
-words with another of them count as one: near copies are no evidence. All other counts are of all
-distinct texts.) Such a term is removed (rare) or generalised (by its shape) wherever it stands in a
-text that holds the entity.
+and a term that reaches `threshold` in at least `min_support` distinct texts gives the concept away even
+when the value itself has been removed. (Among the texts of all pairs that reach the threshold, one that
+shares COPY_PERCENT of its words with one of a smaller key counts as that one: near copies are no
+evidence. All other counts are of all distinct texts.) In the texts that hold both, a term that gives
+away a value or a part of it is removed (spans of kind `term`); one that gives away the kind alone is
+generalised to its shape (kind `context`).
 
 Defined cases: null text counts as empty; empty text has no spans; copies of a text count once in
 the statistics and get equal spans; a row comes out for every row that goes in, whatever its
 other columns hold; an empty table gives an empty result. Matching is done by the JVM's regular
-expressions with possessive quantifiers, so long runs neither backtrack nor recurse.
+expressions with possessive quantifiers, so long runs neither backtrack nor recurse. Texts are known by
+128-bit digests.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from onomast.llm.common import materialize
 
 #: In the order in which spans of one start are listed.
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "term", "context")
 #: The look-behind keeps a failed run from being tried again from its middle; \G lets a match
 #: begin where the last one ended.
 PATTERNS = {
@@ -46,6 +50,8 @@ GATES = {
 WORD = r"[\p{L}\p{N}_]+"
 SLOTS = 1 << 21
 COPY_PERCENT = 80
+_KIND = "kind:"  # no base value holds a colon
+_STEP = 256
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -60,34 +66,28 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _starts(gaps: Column, found: Column) -> Column:
-    """Code-point starts of the matches, from the texts between them."""
-    steps = F.zip_with(
-        F.transform(gaps, lambda g: F.length(g).cast("long")),
-        F.transform(found, lambda m: F.length(m).cast("long")),
-        lambda g, m: F.struct(g.alias("g"), m.alias("m")),
-    )
-    none = F.array().cast("array<bigint>")
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("starts"))
-    return F.aggregate(
-        F.filter(steps, lambda s: s["m"].isNotNull()),
-        zero,
-        lambda a, s: F.struct(
-            (a["at"] + s["g"] + s["m"]).alias("at"),
-            F.concat(a["starts"], F.array(a["at"] + s["g"])).alias("starts"),
-        ),
-        lambda a: a["starts"],
-    )
+def _starts(df: DataFrame, gaps: str, found: str, out: str) -> DataFrame:
+    """df with the code-point starts of the matches, from the texts between them. Sums go by blocks, so that a
+    text of very many matches takes a time little more than in proportion."""
+    lengths = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, n: a + n)
+    upto = lambda x, n: total(F.slice(x, F.lit(1), n))
+    df = df.withColumn("__lengths", lengths)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size("__lengths") / _STEP).cast("int")), lambda k: total(F.slice("__lengths", k * _STEP + 1, F.lit(_STEP))))
+    df = df.withColumn("__blocks", blocks)
+    df = df.withColumn("__before", F.transform("__blocks", lambda _, k: upto(F.col("__blocks"), k)))
+    place = lambda g, i: F.get("__before", F.floor(i / _STEP).cast("int")) + total(F.slice("__lengths", F.floor(i / _STEP).cast("int") * _STEP + 1, i % _STEP)) + F.length(g)
+    return df.withColumn(out, F.transform(F.slice(gaps, 1, F.size(found)), place)).drop("__lengths", "__blocks", "__before")
 
 
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
 
-def _spans(kind: str, gaps: Column, found: Column) -> Column:
+def _spans(kind: str, starts: Column, found: Column) -> Column:
     """Valid spans of one kind as structs in the order of their sort key."""
     k = KINDS.index(kind)
     zipped = F.zip_with(
-        _starts(gaps, found),
+        starts,
         found,
         lambda s, m: F.struct(
             s.alias("start"), F.lit(k).alias("kind"), (s + F.length(m)).alias("end"), m.alias("value")
@@ -106,39 +106,59 @@ def base_spans(docs: DataFrame, text_col: str, out: str = "base") -> DataFrame:
     found = found.withColumns(
         {f"__g_{k}": F.when(F.size(f"__m_{k}") > 0, F.split(text, p, -1)).otherwise(none) for k, p in PATTERNS.items()}
     )
-    found = found.withColumns({f"__s_{k}": F.when(F.size(f"__m_{k}") > 0, _spans(k, F.col(f"__g_{k}"), F.col(f"__m_{k}"))).otherwise(F.array().cast(_SPANS)) for k in PATTERNS})
+    for k in PATTERNS:
+        found = _starts(found, f"__g_{k}", f"__m_{k}", f"__a_{k}")
+    found = found.withColumns({f"__s_{k}": F.when(F.size(f"__m_{k}") > 0, _spans(k, F.col(f"__a_{k}"), F.col(f"__m_{k}"))).otherwise(F.array().cast(_SPANS)) for k in PATTERNS})
     return found.withColumn(out, F.array_sort(F.concat(*(F.col(f"__s_{k}") for k in PATTERNS)))).drop(
-        *(f"__{x}_{k}" for x in "mgs" for k in PATTERNS)
+        *(f"__{x}_{k}" for x in "magas" for k in PATTERNS)
     )
 
 
+def concepts(base: Column) -> Column:
+    """What is protected of the base spans: the values in lower case, their parts and their kinds."""
+    digits = lambda v: F.regexp_replace(v, "[^0-9]", "")
+
+    def of(s: Column) -> Column:
+        v = F.lower(s["value"])
+        kind = F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)
+        name = F.regexp_extract(v, "^[^a-z]*([a-z]{3,})[^@]*@", 1)
+        part = (
+            F.when(kind == "email", F.concat(F.lit("domain:"), F.substring_index(v, "@", -1)))
+            .when(kind == "ip", F.concat(F.lit("net:"), F.substring_index(v, ".", 2)))
+            .when(kind == "card", F.concat(F.lit("issuer:"), F.substring(digits(v), 1, 6)))
+            .otherwise(F.concat(F.lit("area:"), F.substring(digits(v), 1, 4)))
+        )
+        return F.array(v, part, F.concat(F.lit(_KIND), kind), F.when((kind == "email") & (name != ""), F.concat(F.lit("name:"), name)))
+
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(base, of))))
+
+
 def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
-def _representatives(held: DataFrame, words: DataFrame) -> DataFrame:
-    """(entity, text_key, copy_of) of the texts that share COPY_PERCENT of their words with one of a smaller
-    key that holds the entity too. Such a pair shares one of the rarest words of either; of the texts with an
-    entity and a word each is compared with the first alone, so that a group of copies costs a row a copy."""
+def _representatives(words: DataFrame) -> DataFrame:
+    """(text_key, copy_of) of the texts that share COPY_PERCENT of their words with one of a smaller key. Such a
+    pair shares one of the rarest words of either; of the texts with a word each is compared with the first
+    alone, so that a group of copies costs a row a copy. words: (text_key, term, n_near)."""
     word = F.struct("n_near", F.xxhash64("term").alias("h"))
     sets = words.groupBy("text_key").agg(F.sort_array(F.collect_list(word)).alias("w")).withColumn("n", F.size("w"))
     needed = F.ceil(F.col("n") * COPY_PERCENT / 100).cast("int")
-    rarest = sets.select("text_key", "n", F.explode(F.slice("w", F.lit(1), F.col("n") - needed + 1)).alias("w")).where("w.n_near > 1")
-    dealt = held.select("entity", "text_key").join(rarest.select("text_key", "n", F.col("w.h").alias("h")), "text_key")
-    heads = dealt.groupBy("entity", "h").agg(F.min(F.struct("text_key", "n")).alias("head"), F.count("*").alias("k")).where("k > 1")
-    met = dealt.join(heads, ["entity", "h"]).select("entity", "text_key", "n", F.col("head.text_key").alias("head"), F.col("head.n").alias("m"))
+    rarest = sets.select("text_key", "n", F.explode(F.slice("w", F.lit(1), F.col("n") - needed + 1)).alias("w"))
+    rarest = rarest.where("w.n_near > 1").select("text_key", "n", F.col("w.h").alias("h"))
+    heads = rarest.groupBy("h").agg(F.min(F.struct("text_key", "n")).alias("head"), F.count("*").alias("k")).where("k > 1")
+    met = rarest.join(heads, "h").select("text_key", "n", F.col("head.text_key").alias("head"), F.col("head.n").alias("m"))
     met = met.where((F.col("text_key") != F.col("head")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * COPY_PERCENT)).distinct()
     a = sets.select("text_key", F.col("w.h").alias("wa"))
     b = sets.select(F.col("text_key").alias("head"), F.col("w.h").alias("wb"))
-    pairs = met.select("text_key", "head", "n", "m").distinct().join(a, "text_key").join(b, "head")
     both = F.size(F.array_intersect("wa", "wb"))
-    alike = pairs.where(both * 100 >= (F.col("n") + F.col("m") - both) * COPY_PERCENT).select("text_key", "head")
-    return met.join(alike, ["text_key", "head"]).groupBy("entity", "text_key").agg(F.min("head").alias("copy_of"))
+    pairs = met.join(a, "text_key").join(b, "head").where(both * 100 >= (F.col("n") + F.col("m") - both) * COPY_PERCENT)
+    return pairs.groupBy("text_key").agg(F.min("head").alias("copy_of"))
 
 
 def disclosing_terms(near: DataFrame, texts: DataFrame, threshold: float, min_support: int) -> DataFrame | None:
-    """(text_key, term) for each term that gives away an entity of that text, or None if no entity
-    has the support. near: (text_key, text, entities) of each distinct text that holds any entity;
+    """(text_key, term, kind) for each term that gives away a concept of that text, or None if no concept
+    has the support. near: (text_key, text, entities) of each distinct text that holds any concept;
     texts: (text_key, text) of all rows."""
     listed = near.select("text_key", F.explode("entities").alias("entity"))
     supported = listed.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_support)
@@ -146,20 +166,16 @@ def disclosing_terms(near: DataFrame, texts: DataFrame, threshold: float, min_su
     if held.isEmpty():
         return None
     total = texts.select("text_key").distinct().count()
-    # The threshold on PMI / IC as one on n(t): n(t) <= n(e,t) (N / n(e)) ^ (1 - threshold).
+    # The threshold on PMI / IC as one on n(t): n(t) <= n(c,t) (N / n(c)) ^ (1 - threshold).
     most = F.col("n_et") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1.0 - threshold)) + F.lit(1e-9)
-    # A term's count among all texts with entities is at most its n(t), and n(e,t) at most n(e): a term that is too
+    # A term's count among all texts with concepts is at most its n(t), and n(c,t) at most n(c): a term that is too
     # common or too rare there is out.
-    least = near.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
-    words = near.join(held.select("text_key").distinct(), "text_key", "left_semi").select("text_key", F.explode(_words(F.col("text"))).alias("term"))
-    words = materialize(words.join(least, "term"), "pii-near-words")
-    held = materialize(held.join(_representatives(held, words), ["entity", "text_key"], "left").withColumn("source", F.coalesce("copy_of", "text_key")).drop("copy_of"), "pii-entity-sources")
-    open_words = words.where(F.col("n_near") >= min_support).join(held, "text_key").withColumn("n_et", F.col("n_e")).where(F.col("n_near") <= most)
-    pairs = open_words.groupBy("entity", "term", "n_e", "n_near").agg(F.count("*").alias("n_et"), F.count_distinct("source").alias("sources"))
-    pairs = pairs.where((F.col("sources") >= min_support) & (F.col("n_e") < total)).withColumn("most", most)
+    words = near.select("text_key", F.explode(_words(F.col("text"))).alias("term"))
+    words = materialize(words.join(words.groupBy("term").agg(F.count("*").alias("n_near")), "term"), "pii-near-words")
+    met = words.where(F.col("n_near") >= min_support).join(held, "text_key")
+    pairs = met.withColumn("n_et", F.col("n_e")).where(F.col("n_near") <= most).groupBy("entity", "term", "n_e", "n_near").agg(F.count("*").alias("n_et"))
+    pairs = pairs.where((F.col("n_et") >= min_support) & (F.col("n_e") < total)).withColumn("most", most)
     pairs = materialize(pairs.where(F.col("n_near") <= F.col("most")).select("entity", "term", "most"), "pii-pairs")
-    if pairs.isEmpty():
-        return None
     open_ = pairs.select("term").distinct()
     # A set of at most SLOTS numbers passes all words that are open, and few others, where texts are read.
     slot = F.pmod(F.xxhash64("term"), F.lit(SLOTS)).alias("slot")
@@ -167,7 +183,15 @@ def disclosing_terms(near: DataFrame, texts: DataFrame, threshold: float, min_su
     seen = seen.join(F.broadcast(open_.select(slot).distinct()), "slot", "left_semi").join(open_, "term", "left_semi").select("text_key", "term")
     spread = seen.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     telling = pairs.join(spread, "term").where(F.col("n_t") <= F.col("most")).select("entity", "term")
-    return telling.join(held.select("entity", "text_key"), "entity").select("text_key", "term").distinct()
+    told = materialize(words.join(telling, "term").join(held.select("entity", "text_key"), ["entity", "text_key"]).select("entity", "term", "text_key"), "pii-told")
+    copies = _representatives(words.join(told.select("text_key").distinct(), "text_key", "left_semi"))
+    sources = told.join(copies, "text_key", "left").groupBy("entity", "term").agg(F.count_distinct(F.coalesce("copy_of", "text_key")).alias("sources"))
+    told = told.join(sources.where(F.col("sources") >= min_support).drop("sources"), ["entity", "term"])
+    kind = F.when(F.col("entity").startswith(_KIND), KINDS.index("context")).otherwise(KINDS.index("term"))
+    return told.groupBy("text_key", "term").agg(F.min(kind).alias("kind"))
+
+
+_OWN = ("base", "spans")
 
 
 def find(
@@ -178,33 +202,35 @@ def find(
     keep_text: bool = True,
 ) -> DataFrame:
     """docs (without the text, if it isn't to be kept) with `base` (spans of the four patterns) and
-    `spans` (these and the method's `term` spans), each an array of (start, kind, end, value)."""
-    if clash := {"base", "spans"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are this operator's own")
+    `spans` (these and the method's spans), each an array of (start, kind, end, value)."""
+    if clash := {c for c in docs.columns if c in _OWN or c.startswith("__")}:
+        raise ValueError(f"columns {sorted(clash)} are this operator's own: base, spans and all that start with __")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    based = base_spans(docs, text_col).withColumn("__key", F.xxhash64(text))
+    key = F.unhex(F.md5(text))
+    based = base_spans(docs, text_col)
     # One pass over the texts finds the base spans; of texts with spans it keeps what the statistics need.
-    based = based.withColumn("__near", F.when(F.size("base") > 0, text))
+    based = based.withColumn("__near", F.when(F.size("base") > 0, text)).withColumn("__key", F.when(F.size("base") > 0, key))
     based = materialize(based if keep_text else based.drop(text_col), "pii-base")
-    entities = F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))
-    near = based.where(F.col("__near").isNotNull()).select(F.col("__key").alias("text_key"), F.col("__near").alias("text"), entities.alias("entities"), "base")
+    near = based.where(F.col("__near").isNotNull()).select(F.col("__key").alias("text_key"), F.col("__near").alias("text"), concepts(F.col("base")).alias("entities"), "base")
     near = near.dropDuplicates(["text_key"])
-    terms = disclosing_terms(near, docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")), threshold, min_support)
+    terms = disclosing_terms(near, docs.select(key.alias("text_key"), text.alias("text")), threshold, min_support)
     if terms is None:
         return based.withColumn("spans", F.col("base")).drop("__key", "__near")
 
-    # Every place of a telling term in the texts that hold its entity. Inside base spans it goes anyway.
-    told = terms.groupBy("text_key").agg(F.collect_set("term").alias("terms"))
+    # Every place of a telling term in the texts that hold its concept. Inside base spans it goes anyway.
+    told = terms.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("terms"))
     hit = near.join(told, "text_key")
     hit = hit.withColumn("m", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).withColumn("g", F.split("text", WORD, -1))
-    hit = hit.withColumn("at", _starts(F.col("g"), F.col("m")))
-    placed = F.zip_with("at", "m", lambda s, m: F.struct(s.alias("start"), F.lit(KINDS.index("term")).alias("kind"), (s + F.length(m)).alias("end"), m.alias("value")))
-    hit = hit.withColumn("placed", F.filter(placed, lambda z: F.array_contains(F.col("terms"), F.lower(z["value"]))))
+    hit = _starts(hit, "g", "m", "at")
+    marked = F.zip_with("at", "m", lambda s, m: F.struct(s.alias("start"), F.try_element_at("terms", F.lower(m)).alias("kind"), (s + F.length(m)).alias("end"), m.alias("value")))
+    hit = hit.withColumn("placed", F.filter(marked, lambda z: z["kind"].isNotNull()))
     outside = F.filter("placed", lambda z: ~F.exists("base", lambda b: (b["start"] < z["end"]) & (z["start"] < b["end"])))
     more = hit.select(F.col("text_key").alias("__key"), outside.alias("__more"))
-    joined = based.join(more, "__key", "left")
+    # Texts without base spans are not moved.
     spans = F.when(F.col("__more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "__more")))
-    return joined.withColumn("spans", spans).drop("__key", "__near", "__more")
+    joined = based.where(F.col("__near").isNotNull()).join(more, "__key", "left").withColumn("spans", spans)
+    rest = based.where(F.col("__near").isNull()).withColumn("spans", F.col("base"))
+    return joined.drop("__key", "__near", "__more").unionByName(rest.drop("__key", "__near"))
 
 
 def _listing(spans: Column) -> Column:
@@ -226,21 +252,26 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets, or, for a term, generalised to its
-    shape: the text that overlapping spans cover goes once."""
+    """The text with each base span replaced by its kind in brackets, a `term` removed ([TERM]), and a `context`
+    generalised to its shape: [NUMBER], [NAME] if it has a capital at its start, else [WORD]. Text that
+    overlapping spans cover goes once."""
     kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    piece = lambda a, s: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), kinds[s["kind"]])
+    shape = lambda v: F.when(v.rlike("[0-9]"), "[NUMBER]").when(v.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+    stand_in = lambda s: F.when(s["kind"] == KINDS.index("context"), shape(s["value"])).otherwise(kinds[s["kind"]])
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+    pieces = lambda a, s: F.concat(a["out"], F.array(F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), stand_in(s)))
     return F.aggregate(
         spans,
         zero,
-        lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], piece(a, s)).otherwise(a["out"]).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2147483647))),
+        lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], pieces(a, s)).otherwise(a["out"]).alias("out")),
+        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.lit(2147483647))),
     )
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", threshold: float = 0.95, min_support: int = 3) -> DataFrame:
-    """docs with the text's personal data and telling terms replaced; null stays null."""
-    found = find(docs, text_col, threshold, min_support)
-    clean = F.when(F.size("spans") > 0, redact(F.col(text_col), F.col("spans"))).otherwise(F.col(text_col))
-    return found.withColumn(text_col, clean).select(*docs.columns)
+    """docs with the text's personal data and telling terms replaced; null stays null. Other columns may have any names."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    packed = docs.select(F.struct(*others, F.lit(0).alias("__")).alias("row"), F.col(text_col).alias("text"))
+    found = find(packed, "text", threshold, min_support)
+    clean = F.when(F.size("spans") > 0, redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    return found.select(*(clean.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -166,6 +166,70 @@ def test_terms_in_fixed_phrases_give_an_entity_away(spark):
     assert not any(terms(30 + i) for i in range(6)) and not any(terms(100 + i) for i in range(60))
 
 
+def plain_concepts(text):
+    """What is protected of the base spans of a text, by a plain reading of the rule."""
+    out = set()
+    for a, kind, b in plain_spans(text):
+        v = text[a:b].lower()
+        digits = re.sub("[^0-9]", "", v)
+        out |= {v, f"kind:{kind}"}
+        if kind == "email":
+            out.add("domain:" + v.rpartition("@")[2])
+            if name := re.match("[^a-z]*([a-z]{3,})[^@]*@", v):
+                out.add("name:" + name[1])
+        out |= {"ip": {"net:" + ".".join(v.split(".")[:2])}, "card": {"issuer:" + digits[:6]}, "phone": {"area:" + digits[:4]}}.get(kind, set())
+    return out
+
+
+def plain_terms(texts):
+    """{(concept, term): texts} of all terms that give a concept away."""
+    words = {t: {w.lower() for w in re.findall(r"\w+", t)} for t in set(texts)}
+    n, spread, holders, both = len(words), Counter(w for x in words.values() for w in x), defaultdict(set), defaultdict(set)
+    for t in words:
+        for c in plain_concepts(t):
+            holders[c].add(t)
+            for w in words[t]:
+                both[c, w].add(t)
+    reach = {(c, w): held for (c, w), held in both.items() if len(held) >= 3 and len(holders[c]) < n and math.log2(len(held) * n / (len(holders[c]) * spread[w])) >= 0.95 * math.log2(n / len(holders[c])) - 1e-9}
+    key = {t: hashlib.md5(t.encode()).digest() for held in reach.values() for t in held}
+    copy = {t: min((key[x] for x in key if key[x] < key[t] and 100 * len(words[t] & words[x]) >= 80 * len(words[t] | words[x])), default=key[t]) for t in key}
+    return {k: held for k, held in reach.items() if len({copy[t] for t in held}) >= 3}
+
+
+def test_terms_of_a_whole_table_match_plain_counting(spark):
+    """Kinds and parts recur where no value does."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    telling = plain_terms(texts.values())
+    assert telling
+    want = defaultdict(dict)
+    for (c, w), held in telling.items():
+        for t in held:
+            want[t][w] = "context" if c.startswith("kind:") and want[t].get(w) != "term" else "term"
+    for r in pii.find(docs).collect():
+        t, base = texts[r["doc_id"]], plain_spans(texts[r["doc_id"]])
+        spans = [(m.start(), m.end(), want[t][m[0].lower()]) for m in re.finditer(r"\w+", t) if m[0].lower() in want.get(t, {})]
+        spans = [x for x in spans if not any(a < x[1] and x[0] < b for a, _, b in base)]
+        assert [(s["start"], s["end"], pii.KINDS[s["kind"]]) for s in r["spans"] if s["kind"] > 3] == spans
+
+
+def test_sanitised_texts_by_what_they_give_away(spark):
+    rows = [(i, f"item{i} Quarz{i} Falcon 77x spoke to p{i}@h{i}.example", "b", i) for i in range(5)] + [(50 + i, f"item{i} nothing here {i}", "b", i) for i in range(40)]
+    rows += [(100, None, None, 0), (101, "", "", 0)]
+    got = {r["doc_id"]: r.asDict() for r in pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string, base string, __near int")).collect()}
+    assert got[3] == {"doc_id": 3, "text": "item3 Quarz3 [NAME] [NUMBER] [WORD] [WORD] [EMAIL]", "base": "b", "__near": 3}
+    assert got[50]["text"] == "item0 nothing here 0" and got[100]["text"] is None and got[101]["text"] == ""
+
+
+def test_places_in_texts_of_very_many_words(spark):
+    """More matches than a block of sums takes, and base spans beyond it."""
+    many = " ".join(f"a{i}@b.co" for i in range(3000))
+    rows = [(1, many + " x"), (2, "é" * 700 + " 1.2.3.4 " + "ü 5.6.7.8 " * 600)]
+    got = {r["doc_id"]: r["base"] for r in pii.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, t in rows:
+        assert [(s["start"], pii.KINDS[s["kind"]], s["end"]) for s in got[i]] == plain_spans(t)
+
+
 def test_pii_odd_cases(spark):
     assert pii.report(pii.find(spark.createDataFrame([], "doc_id bigint, text string"))).count() == 0
     twice = spark.createDataFrame([(1, "x@y.zz 1.1.1.1"), (1, "x@y.zz 1.1.1.1"), (None, "+1 555 010 99990")], "doc_id bigint, text string")
