@@ -470,15 +470,20 @@ def cluster(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that are not the first, by id, of their component."""
-    found = cluster(docs, words, percent)
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    marked = materialize(found.groupBy("doc_id").agg(F.bool_or(first).alias("__kept"), F.count("*").alias("__n")), "jaccard-kept")
+    """docs without those that are not the first, by id, of their component. Rows without id come last, in the order of
+    a hash of their text, and are told apart by it; of equal rows one stays."""
+    if clash := {c for c in docs.columns if c.startswith("__")}:
+        docs = docs.withColumnsRenamed({c: f"kept:{c}" for c in clash})
+    last = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62))
+    docs = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), last))
+    found = cluster(docs.select(F.col("__id").alias("doc_id"), "text"), words, percent)
+    marked = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("__kept"), F.count("*").alias("__n"))
+    marked = materialize(marked, "jaccard-kept")
     gone, kept = marked.where(~F.col("__kept")).select("doc_id"), marked.where("__kept")
     # Most documents share no slot with one that goes; only the others are looked up by id.
-    slotted, slots = docs.withColumn("__slot", slot_of("doc_id", KEPT_SLOTS)), slots_of(gone, "doc_id", KEPT_SLOTS)
-    maybe = slotted.join(slots, "__slot", "left_semi").join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    slotted, slots = docs.withColumn("__slot", slot_of("__id", KEPT_SLOTS)), slots_of(gone, "doc_id", KEPT_SLOTS)
+    maybe = slotted.join(slots, "__slot", "left_semi").join(gone.withColumnRenamed("doc_id", "__gone"), F.col("__id") == F.col("__gone"), "left_anti")
     out = slotted.join(slots, "__slot", "left_anti").unionByName(maybe).drop("__slot")
-    if kept.where("__n > 1").isEmpty():
-        return out
-    return out.dropDuplicates(["doc_id", "text"])  # repeated rows of one id
+    if not kept.where("__n > 1").isEmpty():
+        out = out.dropDuplicates(["__id", "text"])  # repeated rows of one id
+    return out.drop("__id").withColumnsRenamed({f"kept:{c}": c for c in clash})

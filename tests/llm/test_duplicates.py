@@ -142,6 +142,13 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == want
 
 
+def test_keep_one_without_ids(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, base, 1), (None, base + " more", 2), (None, base, 1), (None, "other text of its own", 3), (7, "x " + base, 4), (None, None, 5), (None, "one more alone here", 6)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, __slot int")).collect()
+    assert sorted(r["__slot"] for r in kept) == [3, 4, 5, 6]
+
+
 # --- Content-defined cuts ---
 
 
