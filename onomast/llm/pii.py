@@ -5,7 +5,7 @@ information-theoretic sanitiser looks at the corpus. What is protected is each b
 can be known of it: its parts (an email's name and domain, a phone's area, a card's issuer, an
 address's network) and its kind. Most values stand in one text alone, where nothing can be
 estimated; their parts and kinds recur. For such a concept c, with N distinct texts, n(c) of them
-holding c, n(t) holding term t and n(c,t) holding both, the disclosure of c by t is
+holding c, n(t) holding term t and n(c,t) holding both, t outside the base values, the disclosure of c by t is
 
     PMI(c;t) / IC(c) = log2(n(c,t) N / (n(c) n(t))) / log2(N / n(c))
 
@@ -25,6 +25,8 @@ expressions with possessive quantifiers, so long runs neither backtrack nor recu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ WORD = r"[\p{L}\p{N}_]+"
 SLOTS = 1 << 21
 COPY_PERCENT = 80
 _KIND = "kind:"  # no base value holds a colon
-_STEP = 256
+_STEP = 64  # matches of a block of sums
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -158,8 +160,8 @@ def _representatives(words: DataFrame) -> DataFrame:
 
 def disclosing_terms(near: DataFrame, texts: DataFrame, threshold: float, min_support: int) -> DataFrame | None:
     """(text_key, term, kind) for each term that gives away a concept of that text, or None if no concept
-    has the support. near: (text_key, text, entities) of each distinct text that holds any concept;
-    texts: (text_key, text) of all rows."""
+    has the support. near: (text_key, bare, entities) of each distinct text that holds any concept, bare
+    being the text without its values; texts: (text_key, text) of all rows."""
     listed = near.select("text_key", F.explode("entities").alias("entity"))
     supported = listed.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_support)
     held = materialize(listed.join(supported, "entity"), "pii-entities")
@@ -170,7 +172,7 @@ def disclosing_terms(near: DataFrame, texts: DataFrame, threshold: float, min_su
     most = F.col("n_et") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1.0 - threshold)) + F.lit(1e-9)
     # A term's count among all texts with concepts is at most its n(t), and n(c,t) at most n(c): a term that is too
     # common or too rare there is out.
-    words = near.select("text_key", F.explode(_words(F.col("text"))).alias("term"))
+    words = near.select("text_key", F.explode(_words(F.col("bare"))).alias("term"))
     words = materialize(words.join(words.groupBy("term").agg(F.count("*").alias("n_near")), "term"), "pii-near-words")
     met = words.where(F.col("n_near") >= min_support).join(held, "text_key")
     pairs = met.withColumn("n_et", F.col("n_e")).where(F.col("n_near") <= most).groupBy("entity", "term", "n_e", "n_near").agg(F.count("*").alias("n_et"))
@@ -212,7 +214,7 @@ def find(
     based = based.withColumn("__near", F.when(F.size("base") > 0, text)).withColumn("__key", F.when(F.size("base") > 0, key))
     based = materialize(based if keep_text else based.drop(text_col), "pii-base")
     near = based.where(F.col("__near").isNotNull()).select(F.col("__key").alias("text_key"), F.col("__near").alias("text"), concepts(F.col("base")).alias("entities"), "base")
-    near = near.dropDuplicates(["text_key"])
+    near = near.dropDuplicates(["text_key"]).withColumn("bare", redact(F.col("text"), F.col("base"), lambda _: F.lit(" ")))
     terms = disclosing_terms(near, docs.select(key.alias("text_key"), text.alias("text")), threshold, min_support)
     if terms is None:
         return based.withColumn("spans", F.col("base")).drop("__key", "__near")
@@ -251,13 +253,16 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """The text with each base span replaced by its kind in brackets, a `term` removed ([TERM]), and a `context`
-    generalised to its shape: [NUMBER], [NAME] if it has a capital at its start, else [WORD]. Text that
-    overlapping spans cover goes once."""
-    kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    shape = lambda v: F.when(v.rlike("[0-9]"), "[NUMBER]").when(v.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
-    stand_in = lambda s: F.when(s["kind"] == KINDS.index("context"), shape(s["value"])).otherwise(kinds[s["kind"]])
+def stand_in(span: Column) -> Column:
+    """A base value's kind in brackets, [TERM] for a `term`, and for a `context` its shape: [NUMBER], [NAME] if it has
+    a capital at its start, else [WORD]."""
+    kinds, v = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), span["value"]
+    shape = F.when(v.rlike("[0-9]"), "[NUMBER]").when(v.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+    return F.when(span["kind"] == KINDS.index("context"), shape).otherwise(kinds[span["kind"]])
+
+
+def redact(text: Column, spans: Column, stand_in: Callable[[Column], Column] = stand_in) -> Column:
+    """The text with each span replaced by what stands in for it. Text that overlapping spans cover goes once."""
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
     pieces = lambda a, s: F.concat(a["out"], F.array(F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), stand_in(s)))
     return F.aggregate(
