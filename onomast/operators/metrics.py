@@ -169,9 +169,9 @@ def describe(rows: DataFrame, value: str, by: str, clip: float) -> DataFrame:
 
 def moving_average(rows: DataFrame, key: str, step: str, value: str, keep: float = 0.9) -> DataFrame:
     """The exponential moving average of each key's values in the order of their steps, from 0."""
-    series = F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(value).cast("double").alias("x"))))
-    ema = F.aggregate("series", F.lit(0.0), lambda acc, p: acc * keep + p["x"] * (1 - keep))
-    return rows.groupBy(key).agg(series.alias("series")).select(key, ema.alias("ema"))
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(step), F.desc(value))) - 1
+    weight = F.lit(1 - keep) * F.pow(F.lit(keep), back)
+    return rows.select(key, (F.col(value).cast("double") * weight).alias("x")).groupBy(key).agg(F.sum("x").alias("ema"))
 
 
 def score_density(scored: DataFrame, bins: int = 50) -> DataFrame:

@@ -3,10 +3,10 @@ split is the same on any cluster, and adding rows to a group moves no other."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from onomast.functions.sampling import draw, half_even
+from onomast.functions.sampling import draw, half_even, placed
 from onomast.operators.groups import bucket, sizes
 
 
@@ -15,12 +15,11 @@ def stratified(size: DataFrame, cutoff: int, edges: list[int], ratios: tuple[flo
     if abs(sum(ratios) - 1.0) > 1e-9:
         raise ValueError("ratios must sum to 1")
     ordinal, label = bucket(F.col("size"), cutoff, edges)
-    own = Window.partitionBy("bucket")
     kept = size.where(F.col("size") >= cutoff).select("grp", "size", ordinal.alias("ordinal"), label.alias("bucket"))
-    kept = kept.withColumn("place", F.row_number().over(own.orderBy(draw(seed, "grp"), "grp")))
+    kept = placed(kept, ["bucket"], draw(seed, "grp"), ["grp"]).withColumnRenamed("total", "n")
     for name, most in (caps or {}).items():
         kept = kept.where((F.col("bucket") != name) | (F.col("place") <= most))
-    kept = kept.withColumn("n", F.count("*").over(own))
+        kept = kept.withColumn("n", F.when(F.col("bucket") == name, F.least("n", F.lit(most))).otherwise(F.col("n")))
     train, val = half_even(F.col("n") * ratios[0]), half_even(F.col("n") * ratios[1])
     split = F.when(F.col("place") <= train, "train").when(F.col("place") <= train + val, "val").otherwise("test")
     return kept.select("grp", "size", "ordinal", "bucket", split.alias("split"))
@@ -37,10 +36,9 @@ def by_threshold(size: DataFrame, train_min: int = 50, eval_min: int = 10, val_r
     """(grp, size, split): large groups train; the others, down to eval_min, test or validate. The test
     share is rounded up."""
     rest = size.where((F.col("size") < train_min) & (F.col("size") >= eval_min))
-    every = Window.partitionBy(F.lit(1))
-    place = F.row_number().over(every.orderBy(draw(seed, "grp"), "grp"))
-    tests = F.ceil(F.round(F.count("*").over(every) * (1 - val_ratio), 9))
-    rest = rest.select("grp", "size", F.when(place <= tests, "test").otherwise("val").alias("split"))
+    rest = placed(rest, [], draw(seed, "grp"), ["grp"])
+    tests = F.ceil(F.round(F.col("total") * (1 - val_ratio), 9))
+    rest = rest.select("grp", "size", F.when(F.col("place") <= tests, "test").otherwise("val").alias("split"))
     return size.where(F.col("size") >= train_min).select("grp", "size", F.lit("train").alias("split")).unionByName(rest)
 
 

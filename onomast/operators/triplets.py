@@ -1,8 +1,7 @@
 """Anchor, positive and negative names from groups, by deterministic draws.
 
-A negative's group is an offset from the anchor's in the dense order of groups, so it is uniform
-over all others without a rejection loop, and an equi-join finds it. Groups have a row each in the
-ordering; names are never ordered across groups.
+A negative's group is an offset from the anchor's in a dense numbering of the groups by hash, so it is
+uniform over all others without a rejection loop, and an equi-join finds it. No task orders all groups.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from onomast.functions import text
-from onomast.functions.sampling import draw, unit
+from onomast.functions.sampling import draw, placed, unit
 
 
 def indexed(rows: DataFrame, group_col: str = "id", name_col: str = "name", least: int = 2) -> DataFrame:
@@ -49,10 +48,10 @@ def sample_pairs(members: DataFrame, k: int | None = 200, seed: int = 42, join_u
     return pairs.unionByName(drawn.select("grp", "i", "anchor", "j", "positive"))
 
 
-def group_order(members: DataFrame) -> DataFrame:
-    """(grp, n, g, total): the dense order of groups."""
+def group_order(members: DataFrame, seed: int = 42) -> DataFrame:
+    """(grp, n, g, total): the groups by a dense number, in the order of a hash."""
     heads = members.where("i = 0").select("grp", "n")
-    return heads.withColumn("g", F.row_number().over(Window.orderBy("grp")) - 1).withColumn("total", F.count("*").over(Window.partitionBy(F.lit(1))))
+    return placed(heads, [], draw(seed, "grp", F.lit("order")), ["grp"]).select("grp", "n", (F.col("place") - 1).alias("g"), "total")
 
 
 def build(members: DataFrame, k: int | None = 200, negatives: int = 1, seed: int = 42, exclude_same_text: bool = False) -> DataFrame:
@@ -153,6 +152,6 @@ def cap(triplets: DataFrame, per_group: int = 1000, per_anchor: int = 100, seed:
 
 def mix_hard(training: DataFrame, hard: DataFrame, ratio: float = 1.0, seed: int = 42) -> DataFrame:
     """Training triplets and int(ratio x their number) hard ones, by hash order."""
-    n = int(training.count() * ratio)
-    order = [draw(seed, "anchor", "positive", "negative", "anchor_group"), "anchor", "positive", "negative", "anchor_group"]
-    return training.unionByName(hard.orderBy(*order).limit(n))
+    columns = ["anchor", "positive", "negative", "anchor_group"]
+    chosen = placed(hard, [], draw(seed, *columns), columns).where(F.col("place") <= int(training.count() * ratio))
+    return training.unionByName(chosen.drop("place", "total"))

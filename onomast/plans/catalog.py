@@ -177,7 +177,7 @@ def sampled_pairs(spark, d):
 
 
 def _built(k: str, negatives: int) -> str:
-    return f"""WITH {MEMBERS}, {PAIRS}, {CAPPED.format(k=k)}, grp_order AS (SELECT grp, n, row_number() OVER (ORDER BY grp) - 1 AS g, count(*) OVER () AS total FROM members WHERE i = 0),
+    return f"""WITH {MEMBERS}, {PAIRS}, {CAPPED.format(k=k)}, grp_order AS (SELECT grp, n, row_number() OVER (ORDER BY {h(42, "grp", "'order'")}, grp) - 1 AS g, count(*) OVER () AS total FROM members WHERE i = 0),
 drawn AS (SELECT p.*, o.g, o.total, t, {h(42, "p.grp", "i", "j", "t", "'g'")} AS hg, {h(42, "p.grp", "i", "j", "t", "'n'")} AS hn FROM pairs p JOIN grp_order o USING (grp), (SELECT unnest(range(1, {negatives + 1})) AS t) WHERE total > 1),
 aimed AS (SELECT d.*, o.grp AS neg_grp, hn % o.n AS neg_i FROM drawn d JOIN grp_order o ON o.g = (d.g + 1 + hg % (d.total - 1)) % d.total)
 SELECT a.anchor, a.positive, m.name AS negative, CAST(a.grp AS VARCHAR) AS anchor_group FROM aimed a JOIN members m ON m.grp = a.neg_grp AND m.i = a.neg_i"""
@@ -398,7 +398,7 @@ def levenshtein_band(spark, d):
 
 CHOSEN = f"""{CANDIDATE}, first_ AS (SELECT anchor_id, row_id, label FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY {h(42, "anchor_id", "row_id", "label")}, row_id, label) AS r FROM cand) WHERE r = 1),
 members AS (SELECT cluster_id AS grp, row_id AS name, row_number() OVER (PARTITION BY cluster_id ORDER BY row_id) - 1 AS i, count(*) OVER (PARTITION BY cluster_id) AS n FROM rows),
-ord AS (SELECT grp, n, row_number() OVER (ORDER BY grp) - 1 AS g, count(*) OVER () AS total FROM members WHERE i = 0),
+ord AS (SELECT grp, n, row_number() OVER (ORDER BY {h(42, "grp", "'order'")}, grp) - 1 AS g, count(*) OVER () AS total FROM members WHERE i = 0),
 rest AS (SELECT row_id AS anchor_id, (o.g + 1 + {h(42, "row_id", "'g'")} % (o.total - 1)) % o.total AS other, {h(42, "row_id", "'n'")} AS hn FROM rows JOIN ord o ON o.grp = cluster_id WHERE o.total > 1 AND row_id NOT IN (SELECT anchor_id FROM first_))"""
 
 
@@ -537,7 +537,7 @@ def score_density(spark, d):
 
 #: Anchor and positive of one label, and a negative drawn from another, all by id.
 VECTOR_TRIPLETS = f"""m AS (SELECT id, grp, v, row_number() OVER (PARTITION BY grp ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM e),
-ord AS (SELECT grp, n, row_number() OVER (ORDER BY grp) - 1 AS g, count(*) OVER () AS total FROM m WHERE i = 0),
+ord AS (SELECT grp, n, row_number() OVER (ORDER BY {h(42, "grp", "'order'")}, grp) - 1 AS g, count(*) OVER () AS total FROM m WHERE i = 0),
 t AS (SELECT a.id AS anchor, p.id AS positive, x.id AS negative, {DOT.format("a.v", "p.v")} AS pos, {DOT.format("a.v", "x.v")} AS neg FROM m a JOIN ord o ON o.grp = a.grp JOIN m p ON p.grp = a.grp AND p.i = (a.i + 1) % a.n
 JOIN ord q ON q.g = (o.g + 1 + {h(42, "a.id", "'g'")} % (o.total - 1)) % o.total JOIN m x ON x.grp = q.grp AND x.i = {h(42, "a.id", "'n'")} % q.n)"""
 
@@ -599,7 +599,7 @@ def mine_exhaustive_all(spark, d):
 
 
 @query(
-    f"""WITH {GE}, m AS (SELECT id, grp, row_number() OVER (PARTITION BY grp ORDER BY id) AS i FROM e), ord AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS g, count(*) OVER () AS total FROM m WHERE i = 1),
+    f"""WITH {GE}, m AS (SELECT id, grp, row_number() OVER (PARTITION BY grp ORDER BY id) AS i FROM e), ord AS (SELECT grp, row_number() OVER (ORDER BY {h(42, "grp", "'order'")}, grp) - 1 AS g, count(*) OVER () AS total FROM m WHERE i = 1),
 every AS (SELECT a.grp, a.id AS a, b.id AS b, a.v AS va, {DOT.format("a.v", "b.v")} AS pos, row_number() OVER (PARTITION BY a.grp ORDER BY {h(42, "a.grp", "a.id", "b.id")}, a.id, b.id) AS place FROM e a JOIN e b ON a.grp = b.grp AND a.id < b.id),
 p AS (SELECT every.*, (g + 1 + ({h(42, "grp", "a", "b", "'s'")} + t) % (total - 1)) % total AS other FROM every JOIN ord USING (grp), (SELECT unnest(range(3)) AS t) WHERE place <= 50 AND t < total - 1),
 scored AS (SELECT p.grp, p.a, p.b, n.id AS neg, p.pos, {DOT.format("p.va", "n.v")} AS score FROM p JOIN ord o ON o.g = p.other JOIN e n ON n.grp = o.grp)
