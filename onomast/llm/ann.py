@@ -3,8 +3,8 @@ r"""Approximate nearest neighbours: a navigable small-world graph per shard, mer
 Distinct vectors are dealt to shards by a hash of their values; each shard builds a hierarchical
 navigable small-world graph by insertion and stores it as one row of flat arrays (vectors, member
 ids, neighbour lists per layer). Queries visit every shard in blocks, descend from the top layer
-and widen to a beam of `beam` in the bottom layer; shard results, scored exactly in double precision
-on the original vectors, are merged per query.
+and widen to a beam of `width` in the bottom layer; all that a shard finds is scored exactly in double
+precision on the original vectors, and the shards' nearest are merged per query.
 
 Equal vectors are one node with its smallest ids, k + 1 of them, which is all that any query can
 need of it: a vector that a third of all rows share costs one node.
@@ -214,7 +214,7 @@ def search(
             members = np.frombuffer(row["members"], np.int64)
             for qid, q in zip(asked["id"].to_pylist(), asked["v"].to_pylist(), strict=True):
                 q = np.array(q, np.float64)
-                near = np.array(g.search(q, width)[: 2 * k + 2])
+                near = np.array(g.search(q, width))
                 score = (v[near] * q).sum(axis=1) / (norms[near] * np.sqrt((q * q).sum()))
                 mine = sorted((-s, i) for x, s in zip(near.tolist(), score.tolist(), strict=True) for i in members[ends[x] - counts[x] : ends[x]].tolist() if i != qid)
                 got += [(qid, i, -s) for s, i in mine[:k]]

@@ -13,7 +13,8 @@ seed and the document ids: reruns agree, whatever the partitioning.
 
 Defined cases: null text has size 0; a null source is a source of its own, listed last; a source
 without words has target 0; documents without words take 0; repeated rows are rounded each on its
-own; an empty table gives an empty result.
+own; an empty table gives an empty result; columns other than doc_id, source and text are not read, and
+repeated() gives them back whatever their names.
 """
 
 from __future__ import annotations

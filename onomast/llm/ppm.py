@@ -17,7 +17,8 @@ stay distributed: the `common` most frequent words are shipped, all others are j
 
 Defined cases: null text counts as empty and is scored by its end alone; documents without an id
 hash as the empty text; repeated rows are counted and scored each; without training texts every
-byte has probability 1/256 and no word is known; an empty table gives an empty result.
+byte has probability 1/256 and no word is known; an empty table gives an empty result; columns other
+than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -86,6 +86,8 @@ def packed(
 ) -> DataFrame:
     """The id matrix: a row per sequence; input_ids (little-endian unsigned 32-bit, padded to
     `size`), position_ids (16-bit for sizes up to 65536), cu_seqlens with a leading 0."""
+    if not 0 < size <= 65536:
+        raise ValueError("positions have 16 bits: size is 1 to 65536")
     path, pad = tokenizer or default_path(), end_id if pad_id is None else pad_id
     wanted = docs.select(F.col("doc_id").cast("long"), text_or_empty("text").alias("text"))
     volume = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -239,27 +239,35 @@ def test_a_longer_copy_keeps_what_it_is_first_to_hold(spark):
     assert 0 < own[2][0][0] <= len(start) and own[2][0][1] == len(start) + 1 + len(end)
 
 
-def test_substring_units_match_plain_counting(spark, sf):
-    docs = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
-    _, _, digest, start, end = substrings.units_of([t for _, t in docs])
-    text = substrings.units_of([t for _, t in docs])[0]
-    holders = defaultdict(set)
-    for k, g in zip(text, digest, strict=True):
-        holders[int(g)].add(int(k))
-    want, at = set(), 0
-    for k, (i, _) in enumerate(docs):
-        own = np.flatnonzero(text == k)
+def plain_units(data):
+    """(start, end) of each two neighbouring chunks, byte by byte."""
+    hits = [p for p, h in enumerate(plain_hash(data, np.uint16), 1) if h < 1 << 12 and 12 <= p < len(data)]
+    edges = [0]
+    for e in [p for k, p in enumerate(hits) if not k or p - hits[k - 1] >= 12] + [len(data)] * bool(data):
+        while e - edges[-1] > 256:
+            edges.append(edges[-1] + 256)
+        edges.append(e)
+    return [(edges[0], edges[1])] if len(edges) == 2 else list(zip(edges, edges[2:], strict=False))
+
+
+def test_passages_match_a_plain_chunker(spark, sf):
+    docs = [(r["doc_id"], (r["text"] or "").encode()) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
+    own, holders = {i: plain_units(t) for i, t in docs}, defaultdict(set)
+    for i, t in docs:
+        for a, b in own[i]:
+            holders[t[a:b]].add(i)
+    want = set()
+    for i, t in docs:
         run = []
-        for u in [*own, None]:
-            if u is not None and len(holders[int(digest[u])]) > 1:
+        for u in [*own[i], None]:
+            if u and len(holders[t[u[0] : u[1]]]) > 1:
                 run.append(u)
                 continue
-            if run and end[run[-1]] - start[run[0]] >= 120:
-                want.add((i, int(start[run[0]]), int(end[run[-1]]), len(run)))
+            if run and run[-1][1] - run[0][0] >= 120:
+                want.add((i, run[0][0], run[-1][1], len(run)))
             run = []
-        at += len(own)
     got = substrings.repeated_passages(table(spark, sf, "documents")).collect()
-    assert {(r["doc_id"], r["start_byte"], r["end_byte"], r["n_units"]) for r in got} == want
+    assert want and {(r["doc_id"], r["start_byte"], r["end_byte"], r["n_units"]) for r in got} == want
 
 
 def test_substring_odd_cases(spark):
@@ -342,6 +350,14 @@ def test_recall_of_a_larger_graph():
     assert hits / 250 >= 0.9
 
 
+def test_scaled_copies_tie(spark):
+    """Many vectors of one direction: the nearest are those of the smallest ids."""
+    rng = random.Random(6)
+    rows = [(i, [2.0 ** (i % 23), 2.0 ** (i % 23 + 1)]) for i in range(60)] + [(100 + i, [rng.random(), -rng.random()]) for i in range(60)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("id") == 50, shard_rows=40).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [0, 1, 2, 3, 4]
+
+
 def test_copies_and_odd_vectors(spark):
     rows = [(i, [1.0, 0.0]) for i in range(0, 40)] + [(100, [0.5, 0.5]), (150, [2.0, 0.0]), (200, None), (250, []), (300, [0.0, 0.0]), (350, [float("nan"), 1.0]), (400, [float("inf"), 1.0]), (450, [None, 1.0]), (None, [1.0, 0.0]), (500, [1.0, 2.0, 3.0]), (100, [0.5, 0.5])]
     got = ann.search(spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id bigint, embedding array<double>, score string"), F.col("id") % 50 == 0).collect()

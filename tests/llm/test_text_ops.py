@@ -411,6 +411,14 @@ def test_lm_odd_cases(spark):
     assert len(twice) == 3 and twice[0]["train_tokens"] == 6
 
 
+def test_columns_that_clash(spark):
+    clash = "doc_id bigint, text string, source string, lang string, size long, target string, score string, key string, row_id int"
+    rows = [(i, f"word{i} and more", "s", None, 7, "t", "x", "k", 1) for i in range(30)]
+    df = spark.createDataFrame(rows, clash)
+    assert {r["size"] for r in mixing.mix(df).collect()} == {3} and mixing.repeated(df).columns == df.columns
+    assert all(r["score"] < 0 for r in ppm.score(df).collect())
+
+
 def test_hash_table():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 1 << 40, 5000))
