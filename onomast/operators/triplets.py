@@ -28,24 +28,25 @@ def _unranked(ordinal: Column, n: Column) -> tuple[Column, Column]:
     return (ordinal - (j * (j - 1) / 2).cast("bigint")).cast("int"), j.cast("int")
 
 
-def sample_pairs(members: DataFrame, k: int | None = 200, seed: int = 42, join_up_to: int = 2000) -> DataFrame:
-    """(grp, i, j, anchor, positive): all unordered pairs of each group, or k of them by hash order.
-    Groups of more than join_up_to names don't join with themselves: pair numbers are drawn."""
-    a, b = members.alias("a"), members.select("grp", F.col("i").alias("j"), F.col("name").alias("positive")).alias("b")
-    small = a.where(F.col("n") <= join_up_to) if k else a
-    pairs = small.select("grp", "i", F.col("name").alias("anchor"), "n").join(b, "grp").where("i < j").drop("n")
+#: Primes next below 2^32 (fixed values).
+STRIDES = (4294967291, 4294967279, 4294967231, 4294967197, 4294967189, 4294967161, 4294967143, 4294967111)
+
+
+def sample_pairs(members: DataFrame, k: int | None = 200, seed: int = 42) -> DataFrame:
+    """(grp, i, j, anchor, positive): all unordered pairs of each group, or k of them (all, if there are no more).
+    The k have numbers that a drawn prime stride takes from a drawn start, around the number of pairs: no two are
+    equal, and a group of any size costs k rows and no join with itself."""
+    b = members.select("grp", F.col("i").alias("j"), F.col("name").alias("positive"))
     if not k:
-        return pairs
-    place = F.row_number().over(Window.partitionBy("grp").orderBy(draw(seed, "grp", "i", "j"), "i", "j"))
-    pairs = pairs.withColumn("place", place).where(F.col("place") <= k).drop("place")
-    large = members.where((F.col("n") > join_up_to) & (F.col("i") == 0)).select("grp", "n", F.explode(F.sequence(F.lit(1), F.lit(2 * k))).alias("t"))
-    ordinal = F.pmod(draw(seed, "grp", "t") * F.lit(1 << 20) + draw(seed + 1, "grp", "t"), F.col("n") * (F.col("n") - 1) / 2).cast("bigint")
-    drawn = large.select("grp", "n", "t", ordinal.alias("o")).groupBy("grp", "n", "o").agg(F.min("t").alias("t"))
-    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("t"))).where(F.col("place") <= k)
-    i, j = _unranked(F.col("o"), F.col("n"))
+        return members.select("grp", "i", F.col("name").alias("anchor")).join(b, "grp").where("i < j")
+    every = (F.col("n") * (F.col("n") - 1) / 2).cast("bigint")
+    heads = members.where(F.col("i") == 0).select("grp", "n", every.alias("every"), draw(seed, "grp", F.lit("pairs")).alias("start"), draw(seed, "grp", F.lit("stride")).alias("d"))
+    prime = F.element_at(F.array(*(F.lit(x).cast("bigint") for x in STRIDES)), (F.col("d") % len(STRIDES) + 1).cast("int"))
+    stride = F.when(prime % F.col("every") == 0, F.lit(1).cast("bigint")).otherwise(prime % F.col("every"))
+    drawn = heads.withColumn("stride", stride).withColumn("t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(k).cast("bigint"), F.col("every")) - 1)))
+    i, j = _unranked((F.col("start") + F.col("t") * F.col("stride")) % F.col("every"), F.col("n"))
     drawn = drawn.select("grp", i.alias("i"), j.alias("j"))
-    drawn = drawn.join(members.select("grp", "i", F.col("name").alias("anchor")), ["grp", "i"]).join(b, ["grp", "j"])
-    return pairs.unionByName(drawn.select("grp", "i", "anchor", "j", "positive"))
+    return drawn.join(members.select("grp", "i", F.col("name").alias("anchor")), ["grp", "i"]).join(b, ["grp", "j"]).select("grp", "i", "j", "anchor", "positive")
 
 
 def group_order(members: DataFrame, seed: int = 42) -> DataFrame:

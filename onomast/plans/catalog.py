@@ -159,7 +159,10 @@ def split_leaks(spark, d):
 MEMBERS = """named AS (SELECT conv_id AS grp, text AS name FROM conversations WHERE conv_id IS NOT NULL AND text IS NOT NULL),
 members AS (SELECT * FROM (SELECT grp, name, row_number() OVER (PARTITION BY grp ORDER BY name) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM named) WHERE n >= 2)"""
 PAIRS = "every AS (SELECT a.grp, a.i, b.i AS j, a.name AS anchor, b.name AS positive FROM members a JOIN members b ON a.grp = b.grp AND a.i < b.i)"
-CAPPED = f"pairs AS (SELECT * EXCLUDE place FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {h(42, 'grp', 'i', 'j')}, i, j) AS place FROM every) WHERE place <= {{k}})"
+#: triplets.sample_pairs: numbers by a prime stride, around the number of a group's pairs.
+CAPPED = f"""heads AS (SELECT grp, n * (n - 1) // 2 AS total, {h(42, "grp", "'pairs'")} AS start, {list(triplets.STRIDES)}[1 + ({h(42, "grp", "'stride'")}) % {len(triplets.STRIDES)}] AS prime FROM members WHERE i = 0),
+numbers AS (SELECT grp, (start + t * (CASE WHEN prime % total = 0 THEN 1 ELSE prime % total END)) % total AS o FROM (SELECT *, unnest(range(least({{k}}, total))) AS t FROM heads)),
+pairs AS (SELECT every.* FROM every JOIN numbers ON every.grp = numbers.grp AND every.j * (every.j - 1) // 2 + every.i = numbers.o)"""
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:

@@ -50,7 +50,7 @@ def test_cutoffs(spark):
 
 def test_pairs_of_large_groups_are_drawn_without_a_self_join(spark):
     m = triplets.indexed(grouped(spark, [50, 3]))
-    drawn = triplets.sample_pairs(m, 20, join_up_to=10).where("grp = 'g0000'").collect()
+    drawn = triplets.sample_pairs(m, 20).where("grp = 'g0000'").collect()
     assert len(drawn) == 20 and len({(r["i"], r["j"]) for r in drawn}) == 20
     assert all(0 <= r["i"] < r["j"] < 50 and r["anchor"] != r["positive"] for r in drawn)
 
