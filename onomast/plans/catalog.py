@@ -472,21 +472,22 @@ def recall_at_k(spark, d):
     return _rounded(metrics.recall_at_k(rows), "recall", digits=9)
 
 
-SCORED = f"{GE}, scored AS (SELECT CASE WHEN a.grp = b.grp THEN 1 ELSE 0 END AS y, {DOT.format('a.v', 'b.v')} AS score FROM e a, e b WHERE a.id < b.id)"
+#: Anchor and positive of one label, and a negative drawn from another, all by id.
+VECTOR_TRIPLETS = f"""members AS (SELECT id, grp, v, row_number() OVER (PARTITION BY grp ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM e),
+ord AS (SELECT grp, n, row_number() OVER (ORDER BY {h(42, "grp", "'order'")}, grp) - 1 AS g, count(*) OVER () AS total FROM members WHERE i = 0),
+t AS (SELECT a.id AS anchor, p.id AS positive, x.id AS negative, {DOT.format("a.v", "p.v")} AS pos, {DOT.format("a.v", "x.v")} AS neg FROM members a JOIN ord o ON o.grp = a.grp JOIN members p ON p.grp = a.grp AND p.i = (a.i + 1) % a.n
+JOIN ord q ON q.g = (o.g + 1 + {h(42, "a.id", "'g'")} % (o.total - 1)) % o.total JOIN members x ON x.grp = q.grp AND x.i = {h(42, "a.id", "'n'")} % q.n)"""
+SCORED = f"""{GE}, {VECTOR_TRIPLETS},
+scored AS (SELECT y, score FROM (SELECT anchor, positive AS other, 1 AS y, pos AS score FROM t UNION SELECT anchor, negative, 0, neg FROM t))"""
 CURVE = f"""{SCORED}, by_ AS (SELECT score, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM scored GROUP BY 1),
 c AS (SELECT *, sum(p) OVER d AS tp, sum(n) OVER d AS fp, sum(p) OVER () AS pos, sum(n) OVER () AS neg FROM by_ WINDOW d AS (ORDER BY score DESC)),
 f AS (SELECT *, tp::DOUBLE / (tp + fp) AS precision, tp::DOUBLE / pos AS recall, 2.0 * tp / (tp + fp + pos) AS f1 FROM c)"""
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair of vectors, labelled by whether their groups are the same: a matrix product by blocks."""
-    e = _vectors(spark, d)
-    pool = e.select("id", F.col("grp").cast("string").alias("grp"), "v")
-    n = e.count()
-    near = knn.knn_join(pool, n).where(F.col("qid").cast("bigint") < F.col("id"))
-    g = lambda x: e.select(F.col("id").alias(x), F.col("grp").alias(f"g{x}"))
-    met = near.select(F.col("qid").cast("bigint").alias("a"), F.col("id").alias("b"), "score").join(g("a"), "a").join(g("b"), "b")
-    return met.select((F.col("ga") == F.col("gb")).cast("int").alias("y"), "score")
+    """The distinct pairs of the triplets, labelled and scored."""
+    texts = _vectors(spark, d).select(F.col("id").alias("text"), F.col("v").alias("embedding"))
+    return metrics.score_pairs(metrics.labelled_pairs(_vector_triplets(spark, d)), texts).select(F.col("y").cast("int").alias("y"), "score")
 
 
 @query(f"WITH {CURVE} SELECT round(sum(p * (neg - fp + n / 2.0)) / (max(pos) * max(neg)), 9)::DOUBLE AS roc_auc FROM f")
@@ -538,13 +539,6 @@ def score_density(spark, d):
     return metrics.score_density(_scored(spark, d))
 
 
-#: Anchor and positive of one label, and a negative drawn from another, all by id.
-VECTOR_TRIPLETS = f"""m AS (SELECT id, grp, v, row_number() OVER (PARTITION BY grp ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM e),
-ord AS (SELECT grp, n, row_number() OVER (ORDER BY {h(42, "grp", "'order'")}, grp) - 1 AS g, count(*) OVER () AS total FROM m WHERE i = 0),
-t AS (SELECT a.id AS anchor, p.id AS positive, x.id AS negative, {DOT.format("a.v", "p.v")} AS pos, {DOT.format("a.v", "x.v")} AS neg FROM m a JOIN ord o ON o.grp = a.grp JOIN m p ON p.grp = a.grp AND p.i = (a.i + 1) % a.n
-JOIN ord q ON q.g = (o.g + 1 + {h(42, "a.id", "'g'")} % (o.total - 1)) % o.total JOIN m x ON x.grp = q.grp AND x.i = {h(42, "a.id", "'n'")} % q.n)"""
-
-
 def _vector_triplets(spark: SparkSession, d: str) -> DataFrame:
     e = _vectors(spark, d)
     m = triplets.indexed(e.select(F.col("grp").alias("id"), F.col("id").alias("name")))
