@@ -580,34 +580,24 @@ def score_buckets(spark, d):
     return _vector_triplets(spark, d).select("anchor", vectors.score_bucket(F.floor(F.abs("pos") * 100)).alias("bucket"))
 
 
-MINED = f"""{GE}, every AS (SELECT a.grp, a.id AS a, b.id AS b, a.v AS va, {DOT.format("a.v", "b.v")} AS pos, row_number() OVER (PARTITION BY a.grp ORDER BY {h(42, "a.grp", "a.id", "b.id")}, a.id, b.id) AS place FROM e a JOIN e b ON a.grp = b.grp AND a.id < b.id),
-scored AS (SELECT p.grp, p.a, p.b, n.id AS neg, p.pos, {DOT.format("p.va", "n.v")} AS score FROM every p JOIN e n ON n.grp <> p.grp WHERE place <= 200),
+MINED = f"""{GE}, every AS (SELECT a.grp, a.id AS a, b.id AS b, a.v AS va, {DOT.format("a.v", "b.v")} AS pos FROM e a JOIN e b ON a.grp = b.grp AND a.id < b.id),
+scored AS (SELECT p.grp, p.a, p.b, n.id AS neg, p.pos, {DOT.format("p.va", "n.v")} AS score FROM every p JOIN e n ON n.grp <> p.grp),
 mined AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY score DESC, neg) AS rank FROM scored WHERE score >= round(pos - 0.1, 8) AND score < pos)"""
 
 
 @query(f"WITH {MINED} SELECT * FROM mined WHERE rank <= 10")
 def mine_exhaustive(spark, d):
-    return mining.mine_exhaustive(_vectors(spark, d), pairs_per_group=200)
-
-
-@query()
-def mine_exhaustive_all(spark, d):
     return mining.mine_exhaustive(_vectors(spark, d))
 
 
 @query(
     f"""WITH {GE}, m AS (SELECT id, grp, row_number() OVER (PARTITION BY grp ORDER BY id) AS i FROM e), ord AS (SELECT grp, row_number() OVER (ORDER BY {h(42, "grp", "'order'")}, grp) - 1 AS g, count(*) OVER () AS total FROM m WHERE i = 1),
-every AS (SELECT a.grp, a.id AS a, b.id AS b, a.v AS va, {DOT.format("a.v", "b.v")} AS pos, row_number() OVER (PARTITION BY a.grp ORDER BY {h(42, "a.grp", "a.id", "b.id")}, a.id, b.id) AS place FROM e a JOIN e b ON a.grp = b.grp AND a.id < b.id),
-p AS (SELECT every.*, (g + 1 + ({h(42, "grp", "a", "b", "'s'")} + t) % (total - 1)) % total AS other FROM every JOIN ord USING (grp), (SELECT unnest(range(3)) AS t) WHERE place <= 50 AND t < total - 1),
+every AS (SELECT a.grp, a.id AS a, b.id AS b, a.v AS va, {DOT.format("a.v", "b.v")} AS pos FROM e a JOIN e b ON a.grp = b.grp AND a.id < b.id),
+p AS (SELECT every.*, (g + 1 + ({h(42, "grp", "a", "b", "'s'")} + t) % (total - 1)) % total AS other FROM every JOIN ord USING (grp), (SELECT unnest(range(10)) AS t) WHERE t < total - 1),
 scored AS (SELECT p.grp, p.a, p.b, n.id AS neg, p.pos, {DOT.format("p.va", "n.v")} AS score FROM p JOIN ord o ON o.g = p.other JOIN e n ON n.grp = o.grp)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY score DESC, neg) AS rank FROM scored WHERE score >= round(pos - 0.1, 8) AND score < pos) WHERE rank <= 10"""
 )
 def mine_sampled(spark, d):
-    return mining.mine_sampled(_vectors(spark, d), groups=3, pairs_per_group=50)
-
-
-@query()
-def mine_sampled_all(spark, d):
     return mining.mine_sampled(_vectors(spark, d))
 
 
@@ -626,11 +616,6 @@ def mined_per_group(spark, d):
     return _rounded(mining.written_per_group(mine_exhaustive(spark, d)), "mean", "p95")
 
 
-@query()
-def mined_per_group_all(spark, d):
-    return _rounded(mining.written_per_group(mine_exhaustive_all(spark, d)), "mean", "p95")
-
-
 @query()
 def ivf_knn(spark, d):
     return knn.ivf_knn(_vectors(spark, d), 5, nlist=32, nprobe=8)

@@ -184,10 +184,21 @@ def test_miners_take_every_pair(spark):
             held = [j for j in range(120) if j % 5 != a % 5 and round(s[a, b] - 0.2, 8) <= s[a, j] < s[a, b]]
             want |= {(a, b, j, k + 1) for k, j in enumerate(sorted(held, key=lambda j: (-s[a, j], j))[:3])}
     assert len({(a, b) for a, b, _, _ in want}) > 5 * 200
-    for mined in (mining.mine_exhaustive(df, 0.2, 3), mining.mine_sampled(df, 0.2, 3, groups=4)):
+    small = mining.mine_exhaustive(df, 0.2, 3, pairs_per_task=300, pairs_per_row=7, block_rows=25)
+    for mined in (mining.mine_exhaustive(df, 0.2, 3), small, mining.mine_sampled(df, 0.2, 3, groups=4)):
         assert {(r["a"], r["b"], r["neg"], r["rank"]) for r in mined.collect()} == want
 
 
+def test_exhaustive_miner_odd_rows(spark):
+    schema = "id bigint, grp string, v array<double>"
+    assert mining.mine_exhaustive(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.0]), (3, "a", None), (4, "b", [0.95, 0.0]), (5, "b", [0.95, 0.0]), (6, None, [0.96, 0.0])]
+    got = mining.mine_exhaustive(spark.createDataFrame(rows, schema), k=2)
+    assert {(r["a"], r["b"], r["neg"], r["rank"]) for r in got.collect()} == {(1, 2, 6, 1), (1, 2, 4, 2)} and got.schema["grp"].dataType.simpleString() == "string"
+    capped = mining.mine_exhaustive(spark.createDataFrame([(i, i % 2, [1.0 - i / 100]) for i in range(20)], "id bigint, grp int, v array<double>"), pairs_per_group=3)
+    assert {tuple(x) for x in capped.select("grp", "a", "b").distinct().groupBy("grp").count().collect()} <= {(0, 3), (1, 3), (0, 2), (1, 2), (0, 1), (1, 1)}
+
+
 def scored(spark, rows):
     return spark.createDataFrame(rows, "y int, score double")
 
