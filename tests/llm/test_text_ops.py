@@ -330,6 +330,30 @@ def test_repeated_rows_of_the_mix(spark, sf):
     assert got == Counter({i: c for i, c in copies.items() if c})
 
 
+def test_rows_that_share_an_id_are_mixed_each_on_its_own(spark, monkeypatch):
+    schema = "doc_id bigint, text string, lang string, source string, _copies string, `a.b` int"
+    rows = [(i % 3 if i % 4 else None, f"t{i % 7} " * (1 + i % 7), None, "ab"[i % 2], "x", i % 2) for i in range(300)]
+    rows += [(7, "same words here", None, "a", "x", i % 3) for i in range(200)] + [(None, None, None, "b", None, None)] * 5
+    df = spark.createDataFrame(rows, schema)
+    key = lambda r: (r["doc_id"], r["source"], r["text"])
+    size = lambda r: len((r["text"] or "").split())
+    for options in ({}, {"shard_rows": 20}):
+        got = mixing.mix(df, **options).collect()
+        assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((r[0], len((r[1] or "").split())) for r in rows)
+        target = {r["source_size"]: r["target"] for r in got}
+        for of, t in target.items():
+            assert abs(sum(r["taken"] for r in got if r["source_size"] == of) - t) <= 7
+        out = mixing.repeated(df, **options).collect()
+        assert sum(map(size, out)) == sum(r["taken"] for r in got)
+        by_key, held = Counter(map(key, out)), Counter((r[0], r[3], r[1]) for r in rows)
+        assert all(by_key[k] <= 2 * held[k] for k in by_key) and {k[2] for k in by_key} <= {r[1] for r in rows}
+        each, there = Counter(tuple(r) for r in out), Counter(rows)
+        assert all(each[r] <= 2 * there[r] for r in each) and max(there.values()) > 60
+    monkeypatch.setattr(mixing, "_RUN", 16)
+    again = mixing.mix(df.repartition(5), shard_rows=20).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+
+
 # --- Language model ---
 
 
