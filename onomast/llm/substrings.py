@@ -6,9 +6,11 @@ neighbouring chunks is a unit of comparison. Units that more than one document h
 and neighbouring duplicate units form a run; runs of `min_bytes` or more are repeated passages. One
 whole chunk is lost at either end of a passage, so min_bytes lies well below the passages to be found.
 
-One shuffle by digest brings the units together; within it, a window finds each digest's first and
-last document. A passage that a third of all documents hold gives a task one row per document for
-each of its digests, against the more than a hundred rows that every document deals out.
+Which digests come again is counted with partial aggregates, so that a digest of a third of all
+documents reaches its task as a row per partition. A bitmap of these digests, sized by their count up
+to 16 MB, picks their units where they stand; the rest of the units never moves. First and last
+document of a digest are partial aggregates as well, and meet the picked units in a join, whose
+skewed side AQE splits. Units that the bitmap lets through by chance have no second document there.
 
 Defined cases: null and empty texts have no units; a document that repeats itself is no duplicate by
 that; exact copies repeat each other throughout; repeated rows count as documents of their own, as do
@@ -24,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from onomast.llm.common import in_batches, materialize
+from onomast.llm.common import bitmap, discard, in_batches, materialize
 from onomast.llm.gear import cuts
 
+UNITS = "doc_id bigint, row_key bigint, i int, digest bigint, start int, end int"
 CUT = {"bits": 4, "least": 12, "most": 256, "dtype": np.uint16}
-_GAP = 16  # bytes between texts, so that no window reaches from one into the next
+_LEAST_SLOTS, _MOST_SLOTS = 1 << 18, 1 << 27
 
 
 def units_of(texts: list[str | None]) -> tuple[np.ndarray, ...]:
@@ -65,7 +68,30 @@ def units(docs: DataFrame) -> DataFrame:
             place += b.num_rows
 
     wanted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return in_batches(wanted, run, "doc_id bigint, row_key bigint, i int, digest bigint, start int, end int", rows=200)
+    return in_batches(wanted, run, UNITS, rows=200)
+
+
+def slots_for(digests: int) -> int:
+    """Eight slots a digest, as a power of two within the bounds."""
+    return min(max(1 << (8 * digests).bit_length(), _LEAST_SLOTS), _MOST_SLOTS)
+
+
+def shared_units(cut: DataFrame) -> DataFrame:
+    """The units whose digest another row holds too, and few others, written."""
+    again = cut.groupBy("digest").agg(F.min("row_key").alias("low"), F.max("row_key").alias("high")).where("low != high").select("digest")
+    again = materialize(again, "cdc-again")
+    size = slots_for(again.count())
+    seen = cut.sparkSession.sparkContext.broadcast(bitmap(again.select(F.col("digest").bitwiseAND(F.lit(size - 1)).alias("slot")), size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot = b["digest"].to_numpy() & (size - 1)
+            yield b.filter(pa.array(seen.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1, pa.uint8()).cast(pa.bool_()))
+
+    shared = materialize(in_batches(cut, run, UNITS, rows=10000), "cdc-shared")
+    seen.destroy()
+    discard(again)
+    return shared
 
 
 def repeated_passages(docs: DataFrame, min_bytes: int = 120) -> DataFrame:
@@ -73,10 +99,11 @@ def repeated_passages(docs: DataFrame, min_bytes: int = 120) -> DataFrame:
     `first` where this is the first document, by id, that holds any of it; first_parts are the stretches
     (start_byte, end_byte) of it of which that is so, all or some or none of the place."""
     cut = materialize(units(docs), "cdc-units")
+    shared = shared_units(cut)
+    discard(cut)
     row = F.struct("doc_id", "row_key")
-    held = Window.partitionBy("digest")
-    shared = cut.withColumn("low", F.min(row).over(held)).withColumn("high", F.max(row).over(held)).where(F.col("low") != F.col("high"))
-    shared = shared.select("doc_id", "row_key", "i", "start", "end", (F.col("low") == row).alias("first"))
+    held = shared.groupBy("digest").agg(F.min(row).alias("low"), F.max(row).alias("high")).where(F.col("low") != F.col("high")).select("digest", "low")
+    shared = shared.join(held, "digest").select("doc_id", "row_key", "i", "start", "end", (F.col("low") == row).alias("first"))
     run = F.col("i") - F.row_number().over(Window.partitionBy("row_key").orderBy("i"))
     # The units of a run may stand first in different documents: its parts are the stretches of one answer.
     part = F.col("i") - F.row_number().over(Window.partitionBy("row_key", "first").orderBy("i"))
