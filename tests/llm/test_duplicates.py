@@ -270,6 +270,20 @@ def test_passages_match_a_plain_chunker(spark, sf):
     assert want and {(r["doc_id"], r["start_byte"], r["end_byte"], r["n_units"]) for r in got} == want
 
 
+def test_a_crowded_bitmap_loses_and_adds_nothing(spark, sf, monkeypatch):
+    docs = table(spark, sf, "documents")
+    want = sorted(map(str, substrings.repeated_passages(docs).collect()))
+    monkeypatch.setattr(substrings, "_LEAST_SLOTS", 8)
+    monkeypatch.setattr(substrings, "_MOST_SLOTS", 8)
+    assert want and sorted(map(str, substrings.repeated_passages(docs).collect())) == want
+
+
+def test_slots_follow_the_count_within_bounds():
+    assert substrings.slots_for(0) == substrings._LEAST_SLOTS
+    assert substrings.slots_for(1 << 20) == 1 << 24
+    assert substrings.slots_for(1 << 40) == substrings._MOST_SLOTS
+
+
 def test_substring_odd_cases(spark):
 
     long = " ".join(f"{random.Random(i).random()}" for i in range(4000))
