@@ -20,8 +20,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    n = norm(v)
-    return F.transform(v, lambda x: F.try_divide(x.cast("double"), n))
+    # Within an array of one, so that it is worked out once and not for each component.
+    return F.get(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: F.try_divide(x.cast("double"), n))), F.lit(0))
 
 
 def cosine_distance(similarity: Column) -> Column:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from onomast.functions.vectors import l2_normalize
 
 DIGITS = 6
+#: Scores that a task works out at once.
+PIECE = 1 << 20
 
 
 def hashed_ngrams(dim: int = 256, sizes: tuple[int, ...] = (2, 3)) -> Callable[[list[str]], np.ndarray]:
@@ -136,9 +138,12 @@ def nearest(gallery: DataFrame, query: list[float], k: int, tau: float | None =
     return ordered(scored.where(F.col("score") >= tau)) if inside else ordered(scored).where(F.col("score") >= tau)
 
 
-def ivf_knn(rows: DataFrame, k: int, nlist: int | None = None, nprobe: int = 16, sample_rows: int = 500_000, seed: int = 42) -> DataFrame:
+def ivf_knn(rows: DataFrame, k: int, nlist: int | None = None, nprobe: int = 16, sample_rows: int = 500_000, seed: int = 42, block_rows: int = 8192) -> DataFrame:
     """Approximate neighbours: cells of a k-means over a sample of at most sample_rows; each query looks
-    into the nprobe cells whose centres are nearest. nlist is 4 sqrt(n), at least 1024, at most n."""
+    into the nprobe cells whose centres are nearest. nlist is 4 sqrt(n), at least 1024, at most n.
+
+    The rows of a cell and the queries that look into it are dealt to blocks of about block_rows, and a task scores
+    one block against another in pieces, so neither a popular cell nor one of many copies is held as a whole."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -151,31 +156,40 @@ def ivf_knn(rows: DataFrame, k: int, nlist: int | None = None, nprobe: int = 16,
     centres = np.array(model.clusterCenters())
     centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
 
-    def assign(most: int):
-        @F.pandas_udf("array<int>")
-        def run(v: pd.Series) -> pd.Series:
-            s = np.stack([np.asarray(x) for x in v]) @ centres.T
-            return pd.Series(list(np.argsort(-s, axis=1, kind="stable")[:, :most].astype(np.int32)))
-
-        return run
-
-    held = unit.withColumn("cell", F.get(assign(1)(F.col("v")), F.lit(0)))
-    asked = unit.withColumn("cell", F.explode(assign(min(nprobe, len(centres)))(F.col("v"))))
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, PIECE // len(centres))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                s = part["v"].flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1) @ centres.T
+                first = np.argsort(-s, axis=1, kind="stable")[:, :nprobe].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part["id"], part["v"], pa.array(list(first), pa.list_(pa.int32()))], names=["id", "v", "cells"])
+
+    cells = unit.select("id", "v").mapInArrow(assign, "id bigint, v array<double>, cells array<int>")
+    looked = cells.select(F.posexplode("cells").alias("nth", "cell"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.count(c) / F.lit(block_rows))).cast("int")
+    sizes = F.broadcast(looked.groupBy("cell").agg(blocks(F.when(F.col("nth") == 0, 1)).alias("held"), blocks("nth").alias("asked")))
+    dealt = lambda i, c: F.pmod(F.xxhash64(i), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    # Both sides come from `cells`; new names for one of them keep Spark from taking its columns for the other's.
+    held = cells.select(F.col("id").alias("hid"), F.col("v").alias("hv"), F.get("cells", F.lit(0)).alias("cell")).join(sizes, "cell")
+    held = held.select(F.col("hid").alias("id"), F.col("hv").alias("v"), F.col("cell").alias("hcell"), dealt("hid", "held").alias("hg"), each("asked").alias("hq"))
+    asked = cells.select("id", "v", F.explode("cells").alias("cell")).join(sizes, "cell").select("id", "v", "cell", each("held").alias("g"), dealt("id", "asked").alias("q"))
 
     def search(q: pa.Table, g: pa.Table) -> pa.Table:
         if not (q.num_rows and g.num_rows):
             return pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        matrix = lambda t: t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
         order = np.argsort(g["id"].to_numpy(), kind="stable")
-        ids, b = g["id"].to_numpy()[order], np.array(g["v"].to_pylist())[order]
-        s = np.round(np.array(q["v"].to_pylist()) @ b.T, DIGITS)
-        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        qid = np.repeat(q["id"].to_numpy(), best.shape[1])
-        return pa.table({"qid": qid, "id": ids[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
-
-    # Queries of a popular cell go in several blocks.
-    salts = max(1, -(-n * nprobe // (nlist * 65536)))
-    asked = asked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    found = asked.groupBy("cell", "salt").cogroup(held.groupBy("cell", "salt")).applyInArrow(search, "qid bigint, id bigint, score double")
+        ids, b, a = g["id"].to_numpy()[order], matrix(g)[order], matrix(q)
+        # Vectors have length 1, so a score in whole units and a place fit one number, whose order is that of the result.
+        best, step, bits, most = [], max(1, PIECE // len(b)), len(b).bit_length(), min(k, len(b))
+        for at in range(0, len(a), step):
+            keys = np.rint(a[at : at + step] @ b.T * -(10**DIGITS)).astype(np.int64) << bits | np.arange(len(b))
+            best.append(np.partition(keys, most - 1, axis=1)[:, :most].ravel())
+        keys = np.concatenate(best)
+        return pa.table({"qid": np.repeat(q["id"].to_numpy(), most), "id": ids[keys & (1 << bits) - 1], "score": -(keys >> bits) / 10**DIGITS})
+
+    found = asked.groupBy("cell", "g", "q").cogroup(held.groupBy("hcell", "hg", "hq")).applyInArrow(search, "qid bigint, id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -160,6 +160,15 @@ def test_ivf_finds_most_neighbours(spark):
     assert len(got & want) / len(want) > 0.85
 
 
+def test_ivf_by_blocks_is_the_same(spark, monkeypatch):
+    v, df = vectors_of(spark, 200)
+    copies = df.withColumn("v", F.when(F.col("id") % 2 == 0, F.array(*map(F.lit, v[0].tolist()))).otherwise(F.col("v")))
+    found = lambda **b: sorted(tuple(r) for r in knn.ivf_knn(copies, 5, nlist=8, nprobe=3, **b).select("qid", "id", "score", "rank").collect())
+    whole = found()
+    monkeypatch.setattr(knn, "PIECE", 64)
+    assert found(block_rows=7) == whole and len(whole) == 1000
+
+
 def test_encoder(spark):
     df = spark.createDataFrame([("ann",), ("ann",), ("",), (None,)], "text string")
     got = {r["text"]: r["embedding"] for r in knn.encode(df).collect()}
