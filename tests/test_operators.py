@@ -198,6 +198,22 @@ def test_miners_take_every_pair(spark):
         assert {(r["a"], r["b"], r["neg"], r["rank"]) for r in mined.collect()} == want
 
 
+def test_pairs_are_mined_where_they_are_made(spark):
+    _, df = vectors_of(spark, 120)
+    plan = mining.mine_exhaustive(df, 0.2, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_exhaustive_miner_odd_scores(spark):
+    """Scores that don't fit a number together with a place, and some that are no numbers."""
+    rows = [(1, 0, [1e8]), (2, 0, [1e8]), (3, 0, [float("nan")]), (4, 1, [1e8 - 1e-8]), (5, 1, [1e8 - 2e-8]), (6, 1, [float("inf")]), (7, 1, [1e8])]
+    df = spark.createDataFrame(rows, "id bigint, grp int, v array<double>")
+    got = {(r["a"], r["b"], r["neg"], r["rank"]) for r in mining.mine_exhaustive(df, 10.0, 2).collect()}
+    assert got == {(1, 2, 4, 1), (1, 2, 5, 2)} | {x for x in got if x[0] > 3} and not {r for r in got if r[2] in (3, 6)}
+    every = {(r["a"], r["b"], r["neg"]) for r in mining.mine_exhaustive(df, 10.0, 2, semi=False).where("grp = 0").collect()}
+    assert every == {(1, 2, 7), (1, 2, 4)}
+
+
 def test_exhaustive_miner_odd_rows(spark):
     schema = "id bigint, grp string, v array<double>"
     assert mining.mine_exhaustive(spark.createDataFrame([], schema)).count() == 0
