@@ -198,6 +198,15 @@ def test_miners_take_every_pair(spark):
         assert {(r["a"], r["b"], r["neg"], r["rank"]) for r in mined.collect()} == want
 
 
+def test_counted_as_listed(spark):
+    _, df = vectors_of(spark, 120)
+    for more in ({}, {"semi": False}, {"pairs_per_group": 7}):
+        listed, counted = (mining.mine_exhaustive(df, 0.2, 3, counted=c, **more) for c in (False, True))
+        want = {r["grp"]: r["count"] for r in listed.groupBy("grp").count().collect()}
+        assert want and {r["grp"]: r["n"] for r in counted.groupBy("grp").agg(F.sum("n").alias("n")).collect()} == want
+        assert mining.written_per_group(counted).first() == mining.written_per_group(listed).first()
+
+
 def test_pairs_are_mined_where_they_are_made(spark):
     _, df = vectors_of(spark, 120)
     plan = mining.mine_exhaustive(df, 0.2, 3)._jdf.queryExecution().executedPlan().toString()
