@@ -223,6 +223,14 @@ def test_exhaustive_miner_odd_scores(spark):
     assert every == {(1, 2, 7), (1, 2, 4)}
 
 
+def test_sampled_miner_draws_the_same_by_joins_and_in_place(spark):
+    v, _ = vectors_of(spark, 150)
+    df = spark.createDataFrame([(i, str(i % 13) if i % 17 else None, v[i].tolist()) for i in range(150)], "id bigint, grp string, v array<double>")
+    rows_of = lambda **b: sorted(tuple(r) for r in mining.mine_sampled(df, 0.3, 3, groups=4, **b).collect())
+    assert rows_of(join_rows=0) == rows_of(join_rows=1 << 40) != []
+    assert rows_of(join_rows=0, semi=False, pairs_per_group=5) == rows_of(join_rows=1 << 40, semi=False, pairs_per_group=5) != []
+
+
 def test_exhaustive_miner_odd_rows(spark):
     schema = "id bigint, grp string, v array<double>"
     assert mining.mine_exhaustive(spark.createDataFrame([], schema)).count() == 0
