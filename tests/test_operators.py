@@ -248,6 +248,19 @@ def test_sampled_miner_draws_the_same_by_joins_and_in_place(spark):
     assert rows_of(join_rows=0, semi=False, pairs_per_group=5) == rows_of(join_rows=1 << 40, semi=False, pairs_per_group=5) != []
 
 
+def test_sampled_miner_lists_what_files_hold_well(spark, tmp_path):
+    v, _ = vectors_of(spark, 2000, 64)
+    df = spark.createDataFrame([(i, i % 10, (0.7 * v[i]).tolist()) for i in range(2000)], "id bigint, grp int, v array<double>").coalesce(1)
+    for groups in (4, 10):
+        mined = mining.mine_sampled(df, 0.1, 10, groups=groups, join_rows=0)
+        size = parquet_bytes(mined, tmp_path / f"mined{groups}")
+        rows = spark.read.parquet(str(tmp_path / f"mined{groups}"))
+        by_pair = rows.withColumn("task", F.input_file_name()).repartition("task").sortWithinPartitions("task", "a", "b", "rank").drop("task")
+        assert rows.count() > 1_500_000 and size < 0.95 * parquet_bytes(by_pair, tmp_path / f"by_pair{groups}")
+        falling = rows.select("pos", F.input_file_name().alias("f")).toPandas().groupby("f")["pos"]
+        assert all(x.is_monotonic_decreasing for _, x in falling)
+
+
 def test_exhaustive_miner_odd_rows(spark):
     schema = "id bigint, grp string, v array<double>"
     assert mining.mine_exhaustive(spark.createDataFrame([], schema)).count() == 0
